@@ -132,7 +132,7 @@ def _brackets(rows: DataFrame, total: int) -> dict | None:
         ),
         MAX_LABELS,
     )
-    return found and {
+    return None if found is None else {
         r["label"]: (
             np.array([-np.inf if c["lo"] is None else c["lo"] for c in r["cells"]]),
             np.array([np.inf if c["hi"] is None else c["hi"] for c in r["cells"]]),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "tables"]
+MODULES = ["vectors", "tables", "texts", "topics", "profiles", "times", "samples", "joined"]
 
 
 def load() -> tuple[dict, dict]:
