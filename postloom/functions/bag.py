@@ -45,11 +45,11 @@ def remove_pattern(text: Column, pattern: str, space: bool = False) -> Column:
 
 def letters_only(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     """Letters, words above three characters, no mentions, links or # signs."""
-    out = newlines_to_space(text)
-    out = remove_pattern(out, rf"@{fixed.WORD}*")
-    out = F.regexp_replace(out, "[^a-zA-Z#]", " ")
-    out = F.array_join(drop_short_words(words(out), 3), " ")
-    out = remove_pattern(out, rf"http{fixed.NOT_SPACE}+")
+    out = remove_pattern(newlines_to_space(text), rf"@{fixed.WORD}*")
+    out = F.regexp_replace(out, "[^a-zA-Z#]+", " ")
+    # Up to here only letters, # and single spaces are left.
+    out = remove_pattern(out, "(?<![^ ])[^ ]{1,3}(?![^ ])")
+    out = remove_pattern(out, "http[^ ]+")
     tokens = words(F.lower(F.replace(out, F.lit("#"), F.lit(""))))
     stop = default_stop_words() if stop_words is None else stop_words
     return F.array_join(drop_stop_words(tokens, stop), " ")

@@ -15,26 +15,39 @@ BAG_PUNCTUATION = ASCII_PUNCTUATION + "…–"
 BAG_DROPPED_CHARACTERS = "():.…,“–"
 
 # ---- fixed values: pictographs ----------------------------------------------
+EMOJI_RANGES = [
+    (0xA9, 0xA9),
+    (0xAE, 0xAE),
+    (0x203C, 0x203C),
+    (0x2049, 0x2049),
+    (0x2122, 0x2122),
+    (0x2139, 0x2139),
+    (0x2194, 0x21AA),
+    (0x231A, 0x23FF),
+    (0x25AA, 0x25FE),
+    (0x2600, 0x27BF),
+    (0x2934, 0x2935),
+    (0x2B05, 0x2B55),
+    (0x1F004, 0x1F0CF),
+    (0x1F170, 0x1F251),
+    (0x1F300, 0x1FAFF),
+]
 # The outer range turns most characters away with one comparison.
 EMOJI_CLASS = (
     r"[\x{A9}\x{AE}[\x{203C}-\x{1FAFF}&&["
-    r"\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}"
-    r"\x{25AA}-\x{25FE}\x{2600}-\x{27BF}\x{2934}-\x{2935}\x{2B05}-\x{2B55}"
-    r"\x{1F004}-\x{1F0CF}\x{1F170}-\x{1F251}\x{1F300}-\x{1F3FA}\x{1F400}-\x{1FAFF}]]]"
+    + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in EMOJI_RANGES)
+    + r"]]]"
 )
 # One pictograph with its variation selector, skin tone and joined parts.
 EMOJI_TAIL = r"[\x{FE0F}\x{20E3}\x{1F3FB}-\x{1F3FF}]*"
-EMOJI = (
-    f"(?:{EMOJI_CLASS}{EMOJI_TAIL}(?:\\x{{200D}}{EMOJI_CLASS}{EMOJI_TAIL})*"
-    r"|[\x{1F3FB}-\x{1F3FF}])"
-)
+EMOJI = f"{EMOJI_CLASS}{EMOJI_TAIL}(?:\\x{{200D}}{EMOJI_CLASS}{EMOJI_TAIL})*+"
 
 # ---- fixed values: marker rewrites, in the order they apply ------------------
 NEWLINES = (r"\n+", " ")
 DISEASE_NAME = (r"(?iu)corona[\s]?virus", "coronavirus")
-DISEASE_NAME_WIDE = (r"(?iu)corona[\s]?virus|corona", "coronavirus")
+DISEASE_NAME_WIDE = (r"(?iu)corona(?:[\s]?virus)?", "coronavirus")
 DISEASE_NAME_TAG = rf"(?iu)#coronavirus(?!{WORD})"
-DISEASE_CODE = (r"(?iu)covid[-\s_]?19|covid", "covid19")
+DISEASE_CODE = (r"(?iu)covid(?:[-\s_]?19)?", "covid19")
 DISEASE_CODE_NARROW = (r"(?iu)covid[-\s_]?19", "covid19")
 DISEASE_CODE_REPEATED = (r"(?iu)(?:covid[-\s]?19)+", "covid19")
 DISEASE_CODE_TAG = r"(?iu)#covid[_-]?19"
@@ -42,13 +55,18 @@ VIRUS_CODE = (r"(?iu)sars[-]?cov[-]?2", "sarscov2")
 WHOLE_HASHTAG = (rf"#{NOT_SPACE_OR_COLON}+", "xxhashtag")
 WHOLE_MENTION = (rf"@{NOT_SPACE_OR_COLON}+", "xxuser")
 PICTURE_LINK = rf"(?iu)pic\.twitter\.com/{WORD}+"
-VIDEO_LINK = rf"(?iu)https://youtu\.be/{NOT_SPACE}+|https://www\.youtube\.{NOT_SPACE}+"
-SCHEME_LINK = rf"(?iu)(?:http|ftp|https)://{NOT_SPACE}+"
-SCHEME_OR_WWW_LINK = (
-    rf"(?iu)(?:http|ftp|https)://{NOT_SPACE}+|www\.{NOT_SPACE}*{WORD}"
-)
-BARE_DOMAIN = rf"(?iu)(?<!{WORD}){WORD}{NOT_SPACE}*\.[a-z+]{{2,3}}"
-NUMBER = rf"(^|{SPACE})-?[0-9]+(?:\.[0-9]+)*"
+VIDEO_LINK = rf"(?iu)https://(?:youtu\.be/|www\.youtube\.){NOT_SPACE}+"
+SCHEME_LINK = rf"(?iu)(?:https?|ftp)://{NOT_SPACE}+"
+SCHEME_OR_WWW_LINK = rf"(?iu)(?:(?:https?|ftp)://{NOT_SPACE}+|www\.{NOT_SPACE}*{WORD})"
+BARE_DOMAIN = rf"{WORD}{NOT_SPACE}*\.[a-zA-Z+]{{2,3}}"
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)*"
+
+# The same patterns as the JVM runs them fast: a look at the first character, one look
+# ahead for the dot, and a test of the character before.
+FAST_SCHEME_OR_WWW_LINK = f"(?=[hfwHFW]){SCHEME_OR_WWW_LINK}"
+FAST_SCHEME_LINK = f"(?=[hfHF]){SCHEME_LINK}"
+FAST_BARE_DOMAIN = rf"(?<!{WORD}){WORD}(?=[^\s\x1c-\x1f\x85\p{{Z}}.]*+\.){BARE_DOMAIN[len(WORD):]}"
+FAST_NUMBER = rf"(?=[-0-9])(?<!{NOT_SPACE})-?[0-9]++(?:\.[0-9]++)*+"
 
 # ---- fixed values: repairs after tokenising, in the order they apply ---------
 QUOTES_BEFORE_TOKENS = [("’", "'"), ("…", "...")]

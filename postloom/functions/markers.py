@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postloom.functions import fixed
 from postloom.functions.emoji import mark_emoji, name_emoji
 from postloom.functions.words import (
+    class_of,
     default_stop_words,
     drop_short_words,
     drop_stop_words,
@@ -79,29 +80,24 @@ def mark_video_links(text: Column, padded: bool = True) -> Column:
 
 def mark_links(text: Column, bare_domains: bool = True) -> Column:
     """Scheme and www links; bare domains too, which also takes ``end.The``."""
-    marked = F.regexp_replace(text, fixed.SCHEME_OR_WWW_LINK, " xxurl ")
-    return F.regexp_replace(marked, fixed.BARE_DOMAIN, " xxurl ") if bare_domains else marked
+    marked = F.regexp_replace(text, fixed.FAST_SCHEME_OR_WWW_LINK, " xxurl ")
+    return F.regexp_replace(marked, fixed.FAST_BARE_DOMAIN, " xxurl ") if bare_domains else marked
 
 
 def mark_scheme_links(text: Column) -> Column:
-    return F.regexp_replace(text, fixed.SCHEME_LINK, "xxurl")
+    return F.regexp_replace(text, fixed.FAST_SCHEME_LINK, "xxurl")
 
 
 def mark_numbers(text: Column, marker: str = r"\$NUMBER\$") -> Column:
-    return F.regexp_replace(text, fixed.NUMBER, f"$1{marker}")
+    return F.regexp_replace(text, fixed.FAST_NUMBER, marker)
 
 
 def _pad(marker: str, padded: bool) -> str:
     return f" {marker} " if padded else marker
 
 
-def _class_of(characters: str) -> str:
-    return "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in characters) + "]"
-
-
 def space_punctuation(text: Column, characters: str = fixed.MARKER_PUNCTUATION) -> Column:
-    spaced = F.regexp_replace(text, f"({_class_of(characters)})", " $1 ")
-    return collapse_spaces(spaced)
+    return collapse_spaces(F.regexp_replace(text, f"({class_of(characters)})", " $1 "))
 
 
 def mark_punctuation(
@@ -109,7 +105,7 @@ def mark_punctuation(
 ) -> Column:
     """Space out punctuation, then mark (or, with an empty marker, drop) symbols."""
     symbols = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
-    spaced = space_punctuation(text, characters)
+    spaced = F.regexp_replace(text, f"({class_of(characters)})", " $1 ")
     return collapse_spaces(F.regexp_replace(spaced, symbols, marker))
 
 
@@ -122,7 +118,7 @@ def plain_words(
 ) -> Column:
     """Words without stop words, then without punctuation characters."""
     kept = drop_stop_words(words(text), stop_words)
-    return F.array_join(F.transform(kept, lambda w: without_characters(w, characters)), " ")
+    return without_characters(F.array_join(kept, " "), characters)
 
 
 def clean_markers(

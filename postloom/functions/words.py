@@ -40,5 +40,10 @@ def remove_stop_words(tokens: Column, stop_words: Sequence[str]) -> Column:
     return F.array_join(drop_stop_words(tokens, stop_words), " ")
 
 
+def class_of(characters: str) -> str:
+    """A regex class of exactly these characters."""
+    return "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in characters) + "]"
+
+
 def without_characters(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    return F.regexp_replace(text, class_of(characters), "")

@@ -72,20 +72,23 @@ register("emoji_named", markers.mark_emoji_named, NAMED)
 register("emoji_marker", markers.mark_emoji, rx("t", EMOJI_ONE, " xxemoji "))
 register("picture_link", markers.mark_picture_links, rx("t", fixed.PICTURE_LINK, " xxpictwit "))
 register("video_link", markers.mark_video_links, rx("t", fixed.VIDEO_LINK, " xxyoutubeurl "))
-BARE = rf"(?i){fixed.WORD}{fixed.NOT_SPACE}*\.[a-z+]{{2,3}}"
+BARE = fixed.BARE_DOMAIN
 LINKS = rx("t", fixed.SCHEME_OR_WWW_LINK, " xxurl ")
 register("link_marker", markers.mark_links, rx(LINKS, BARE, " xxurl "))
 register("link_marker_strict", lambda c: markers.mark_links(c, bare_domains=False), LINKS)
 register("link_scheme_only", markers.mark_scheme_links, rx("t", fixed.SCHEME_LINK, "xxurl"))
-register("number_marker", markers.mark_numbers, rx("t", fixed.NUMBER, "$1$NUMBER$").replace("\\NUMBER\\", "$NUMBER$"))
 
 
-def class_of(characters):
-    return "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in characters) + "]"
+def numbers_marked(expression):
+    pattern = rf"(^|{fixed.SPACE}){fixed.NUMBER}"
+    return rx(expression, pattern, "$1<number>").replace("<number>", "$NUMBER$")
+
+
+register("number_marker", markers.mark_numbers, numbers_marked("t"))
 
 
 def spaced(expression, characters):
-    return rx(rx(expression, f"({class_of(characters)})", " $1 "), "[ ]{2,}", " ")
+    return rx(rx(expression, f"({words.class_of(characters)})", " $1 "), "[ ]{2,}", " ")
 
 
 SYMBOL = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
@@ -184,7 +187,7 @@ for pattern, replacement in [
 ]:
     OLD = rx(OLD, pattern, replacement)
 OLD = swap(swap(OLD, "#", ""), "@", "")
-OLD_NUMBERS = rx(OLD, fixed.NUMBER, "$1$NUMBER$").replace("\\NUMBER\\", "$NUMBER$")
+OLD_NUMBERS = numbers_marked(OLD)
 OLD_NUMBERS = punctuated(rx(OLD_NUMBERS, EMOJI_ONE, " xxemoji "), "", OLD_PUNC)
 OLD_NUMBERS = joined(f"list_filter({word_list(OLD_NUMBERS)}, lambda w: length(w) > 1)")
 OLD = rx(OLD, EMOJI_ONE, " xxemoji ")
