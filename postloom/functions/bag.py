@@ -46,7 +46,7 @@ def remove_pattern(text: Column, pattern: str, space: bool = False) -> Column:
 def letters_only(text: Column, stop_words: Sequence[str] | None = None) -> Column:
     """Letters, words above three characters, no mentions, links or # signs."""
     out = remove_pattern(newlines_to_space(text), rf"@{fixed.WORD}*")
-    out = F.regexp_replace(out, "[^a-zA-Z#]+", " ")
+    out = F.regexp_replace(out, r"[^\p{Alpha}#]+", " ")
     # Up to here only letters, # and single spaces are left.
     out = remove_pattern(out, "(?<![^ ])[^ ]{1,3}(?![^ ])")
     out = remove_pattern(out, "http[^ ]+")

@@ -30,15 +30,20 @@ TOKEN_FORMS = {
     "dots": r"\.[\s.]*\.",
     "symbol": r"[^\s]",
 }
-# Quick refusals for the JVM that change no match.
+# The same tokens as the JVM finds them fast: most words are letters before a space, and a
+# look ahead refuses the costly forms early. Named classes run faster than mixed ranges.
 FAST_STARTS = {
     "link": "(?=[hw])",
-    "bare_link": r"(?=[A-Za-z0-9-]*+\.)",
+    "bare_link": r"(?=[\p{Alnum}-]*+\.)",
     "mail": r"(?=[\p{L}\p{N}_.+-]++@)",
     "number": r"(?=[+\p{Nd}-])",
 }
 TOKEN = "(?:" + "|".join(TOKEN_FORMS.values()) + ")"
-FAST_TOKEN = "(?:" + "|".join(FAST_STARTS.get(n, "") + f"(?:{p})" for n, p in TOKEN_FORMS.items()) + ")"
+FAST_TOKEN = (
+    r"(?:\p{L}++(?=[ \n])|"
+    + "|".join(FAST_STARTS.get(name, "") + f"(?:{form})" for name, form in TOKEN_FORMS.items())
+    + ")"
+).replace("A-Za-z0-9", r"\p{Alnum}")
 
 
 def plain_quotes(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "tables", "texts", "topics", "profiles", "times", "samples", "joined"]
+MODULES = ["vectors", "tables", "texts", "topics", "profiles", "times", "samples", "joined", "files", "models", "streams"]
 
 
 def load() -> tuple[dict, dict]:
