@@ -17,7 +17,7 @@ from postloom.operators.blocks import collect_small, matrix
 from postloom.session import ensure_checkpoints
 
 # Up to this many rows the built-in exact median is used as it is.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 50_000
 # Rows drawn to place the brackets, and how many standard errors wide they are.
 BRACKET_ROWS = 200_000
 BRACKET_ERRORS = 8.0

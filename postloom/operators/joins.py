@@ -16,9 +16,13 @@ BROADCAST_ROWS = 500_000
 TOPICS_PER_SCAN = 200
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast when it has at most ``max_rows`` rows, else left to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def missing_days(wanted: DataFrame, done: DataFrame, day: str = "day") -> DataFrame:
@@ -57,13 +61,19 @@ def sentiment_scores(
 ) -> DataFrame:
     """(key, sentiment): word valences summed and squashed to -1..1, 0 without a hit.
 
-    ``lexicon`` is (word, valence), one row per word. Words of a post are counted before
-    the join, so a word repeated through a post counts there but travels once.
+    ``lexicon`` is (word, valence), one row per word. With a broadcast lexicon the words
+    are summed per post where they are read, and one row per post is shuffled. With a
+    larger one the words are counted per post first; AQE splits the partition of a word
+    that most posts share.
     """
-    found = F.transform(words(F.col(text)), F.lower) if tokens is None else tokens
+    found = words(F.lower(F.col(text))) if tokens is None else tokens
     each = posts.select(F.col(key), F.explode_outer(found).alias("word"))
-    counted = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
-    scored = counted.join(small_side(lexicon.select("word", "valence")), "word", "left")
+    valences = lexicon.select("word", "valence")
+    if is_small(valences):
+        scored = each.join(F.broadcast(valences), "word", "left").withColumn("times", F.lit(1))
+    else:
+        counted = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
+        scored = counted.join(valences, "word", "left")
     total = F.coalesce(F.sum(F.col("valence") * F.col("times")), F.lit(0.0))
     summed = scored.groupBy(key).agg(total.alias("s"))
     return summed.select(key, (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("sentiment"))

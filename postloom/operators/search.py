@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from postloom.functions import fixed
 from postloom.functions.vectors import cosine_distance
-from postloom.operators.blocks import BROADCAST_BYTES
+from postloom.operators.blocks import BROADCAST_BYTES, matrix
 from postloom.session import ensure_checkpoints
 
+# Groups of tasks ranked on their own before the final ranking.
+TASK_GROUPS = 256
 # Distances closer than this count as equal, so the id decides.
 DIGITS = 12
 
@@ -31,7 +34,8 @@ def nearest(
     """(narrative, rank, post id, label, distance) of the ``k`` closest posts.
 
     Every task multiplies its batches with the centroid matrix and keeps its own best k
-    per centroid; only those rows are shuffled and ranked. The centroids are copied to
+    per centroid; only those rows are shuffled. They are ranked within groups of tasks
+    and then per centroid, so the last step does not grow with the number of tasks. The centroids are copied to
     the executors in blocks of bounded size, one pass over the posts per block, and a
     usual set is one block.
     """
@@ -71,6 +75,7 @@ def _nearest_block(posts, table, k, post_id, label, vector) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, units = shared.value
+        group = TaskContext.get().partitionId() % TASK_GROUPS
         kept = [([], [], []) for _ in names]
         limits = np.full(len(names), np.inf)
         for batch in batches:
@@ -106,11 +111,13 @@ def _nearest_block(posts, table, k, post_id, label, vector) -> DataFrame:
                     pa.array(post, type=arrow["post"]),
                     pa.array(own, type=arrow["label"]),
                     pa.array(distance, type=pa.float64()),
+                    pa.array([group] * n, type=pa.int32()),
                 ],
-                names=["narrative", "post", "label", "distance"],
+                names=["narrative", "post", "label", "distance", "task_group"],
             )
 
-    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", distance double"
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
+    schema += ", distance double, task_group int"
     candidates = (
         posts.where(F.col(vector).isNotNull() & F.col(post_id).isNotNull())
         .select(
@@ -118,15 +125,16 @@ def _nearest_block(posts, table, k, post_id, label, vector) -> DataFrame:
         )
         .mapInArrow(best, schema)
     )
+    rank = F.row_number()
+    by_group = W.partitionBy("narrative", "task_group").orderBy("distance", "post")
+    few = candidates.withColumn("rank", rank.over(by_group)).where(F.col("rank") <= k)
     order = W.partitionBy("narrative").orderBy("distance", "post")
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = few.withColumn("rank", rank.over(order)).where(F.col("rank") <= k)
     return ranked.select("narrative", "rank", F.col("post").alias(post_id), "label", "distance")
 
 
 def matrix_of_units(column: pa.Array) -> np.ndarray:
     """Rows scaled to length one. A zero vector has no direction: NaN, never close."""
-    from postloom.operators.blocks import matrix
-
     values = matrix(column)
     lengths = np.linalg.norm(values, axis=1, keepdims=True)
     return np.divide(values, lengths, where=lengths > 0, out=np.full_like(values, np.nan))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.session import use_utc
+from postloom.session import spread, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,5 +101,5 @@ POST_SQL = "concat(" + ", ".join(
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "lang", post_text().alias("post"))

@@ -135,7 +135,7 @@ def vector_parquet(spark, sf_dir):
 
 @query(
     "labelled_files",
-    """select 'lang_' || lang as narrative, cast(doc_id as varchar) as id, text as tweet
+    """select 'lang=' || lang as narrative, cast(doc_id as varchar) as id, text as tweet
 from documents""",
 )
 def labelled_files(spark, sf_dir):
@@ -144,8 +144,7 @@ def labelled_files(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("tweet"), "lang"
     )
-    for (lang,) in rows.select("lang").distinct().orderBy("lang").collect():
-        rows.where(F.col("lang") == lang).drop("lang").write.json(f"{root}/lang_{lang}")
+    rows.write.partitionBy("lang").json(root)
     return SP.read_labelled(spark, root, schemas.NARRATIVE_POST).select("narrative", "id", "tweet")
 
 
@@ -189,15 +188,16 @@ def warehouse_table(spark, sf_dir):
 
 @query(
     "warehouse_days",
-    "select date '2024-01-01' + cast(r as integer) as day from (select distinct (doc_id % 3) as r from documents)",
+    """select distinct case lang when 'de' then date '2024-01-01' when 'en' then date '2024-01-02'
+       when 'es' then date '2024-01-03' else date '2024-01-04' end as day from documents""",
 )
 def warehouse_days(spark, sf_dir):
     """Days listed from the names of their tables."""
     prefix = f"daily_{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    for r in range(3):
-        part = rows.where(F.col("doc_id") % 3 == r)
-        SW.load_once(part, SW.table_of_day(prefix, f"2024-01-0{r + 1}"), shared_folder(spark, "warehouse"))
+    for i, lang in enumerate(["de", "en", "es", "fr"], start=1):
+        name = SW.table_of_day(prefix, f"2024-01-0{i}")
+        SW.load_once(rows.where(F.col("lang") == lang), name, shared_folder(spark, "warehouse"))
     return SW.table_days(spark, prefix)
 
 

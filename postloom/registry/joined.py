@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.words import words
 from postloom.operators import joins as J
+from postloom.session import spread
 from postloom.registry.base import query, rounded, table
 from postloom.registry.texts import word_list
 
@@ -90,7 +91,7 @@ def sentiment_lexicon(spark, sf_dir):
         .distinct()
         .withColumn("valence", (F.length("word") - 5).cast("double"))
     )
-    out = J.sentiment_scores(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text")
+    out = J.sentiment_scores(spread(table(spark, sf_dir, "documents")), lexicon, "doc_id", "text")
     return out.select("doc_id", rounded("sentiment"))
 
 

@@ -8,7 +8,7 @@ from postloom.operators import encode as V
 from postloom.operators import reduce as R
 from postloom.plans import stages
 from postloom.registry.base import query, rounded, table
-from postloom.session import shared_folder
+from postloom.session import shared_folder, spread
 
 
 def _vectors(spark, sf_dir):
@@ -106,13 +106,13 @@ def centroid_tables(spark, sf_dir):
 
 @query("encode_hashing")
 def encode_hashing(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return V.encode_hashing(rows, "text").drop("text")
 
 
 @query("encode_weighted")
 def encode_weighted(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return V.encode_hashing(rows, "text", V.fit_weights(rows, "text")).drop("text")
 
 
@@ -137,14 +137,14 @@ def letter_encoder():
     + " from documents",
 )
 def encode_with_model(spark, sf_dir):
-    rows = V.encode_with(table(spark, sf_dir, "documents"), "doc_id", "text", letter_encoder)
+    rows = V.encode_with(spread(table(spark, sf_dir, "documents")), "doc_id", "text", letter_encoder)
     return rows.select("doc_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(LETTERS)])
 
 
 @query("post_points")
 def post_points(spark, sf_dir):
     """Clean posts to vectors to points, with the fields of the post."""
-    posts = table(spark, sf_dir, "documents").select(
+    posts = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("id_str"),
         F.expr("timestampadd(MINUTE, doc_id, timestamp_ntz'2024-01-01 00:00:00')").alias("created_at"),
         "lang",

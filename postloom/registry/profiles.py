@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.operators import profile as P
+from postloom.session import spread
 from postloom.registry.base import query, rounded, table
 from postloom.registry.texts import STOP_WORDS, in_list, word_list
 
@@ -141,7 +142,7 @@ WORDS_SQL = f"with w as (select unnest({word_list('text')}) as word from documen
     WORDS_SQL + "select word, count(*) as n from w group by 1 order by n desc, word limit 200",
 )
 def word_freq(spark, sf_dir):
-    return P.word_counts(table(spark, sf_dir, "documents"), "text", 200)
+    return P.word_counts(spread(table(spark, sf_dir, "documents")), "text", 200)
 
 
 @query(
@@ -151,7 +152,7 @@ def word_freq(spark, sf_dir):
 group by 1 order by n desc, word limit 200""",
 )
 def word_freq_without_stop_words(spark, sf_dir):
-    return P.word_counts(table(spark, sf_dir, "documents"), "text", 200, STOP_WORDS)
+    return P.word_counts(spread(table(spark, sf_dir, "documents")), "text", 200, STOP_WORDS)
 
 
 @query(
@@ -160,7 +161,7 @@ def word_freq_without_stop_words(spark, sf_dir):
        sum(len({word_list('text')}))::bigint as words from documents""",
 )
 def corpus_length(spark, sf_dir):
-    return P.corpus_length(table(spark, sf_dir, "documents"), "text")
+    return P.corpus_length(spread(table(spark, sf_dir, "documents")), "text")
 
 
 @query(

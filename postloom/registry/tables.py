@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.operators import clean as K
+from postloom.session import spread
 from postloom.registry.base import query, table
 
 LONG_WORDS = "[A-Z][a-z]{7,}"
@@ -15,7 +16,7 @@ def raw_posts(spark, sf_dir):
     def items(field):
         return F.transform(found, lambda w: F.struct(w.alias(field)))
 
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.expr("timestampadd(MINUTE, doc_id, timestamp_ntz'2024-01-01 00:00:00')").alias("created_at"),
         F.col("doc_id").cast("string").alias("id_str"),
         F.struct(

@@ -7,6 +7,7 @@ from postloom.functions import topics as T
 from postloom.operators import joins as J
 from postloom.operators import profile as P
 from postloom.operators import timeseries as TS
+from postloom.session import spread
 from postloom.registry.base import POST_SQL, posts, query, table, text_literal
 
 # Patterns that the prose of the tables holds, beside the fixed topics.
@@ -108,7 +109,7 @@ select hits, count(*) as n from h where hits <> '' group by hits order by n desc
 def topic_top_hits(spark, sf_dir):
     """Frequencies of the hit lists, without the bucket of posts that have none."""
     hits = T.topic_hits(F.col("text"), PROSE["ending"])
-    rows = table(spark, sf_dir, "documents").select(hits.alias("hits"))
+    rows = spread(table(spark, sf_dir, "documents")).select(hits.alias("hits"))
     return P.value_counts(rows, "hits", 26, skip_missing=True, missing=fixed.NO_TOPIC)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on. Sizes of partitions and the number of
 # shuffle partitions belong to the cluster; AQE coalesces and splits them at run time.
@@ -34,6 +34,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer partitions than there are cores.
+
+    For work that costs far more per row than moving the row, such as long cleanings of a
+    few large or gzip files. A table with enough files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, below the cluster's checkpoint folder.
 
