@@ -12,10 +12,12 @@ from postloom.functions.fixed import NO_TOPIC
 
 def topic_hits(text: Column, pattern: str, empty: str | None = NO_TOPIC) -> Column:
     """All hits comma-joined; ``empty`` (or NULL) where there is none."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
-    return F.when(F.size(hits) > 0, F.array_join(hits, ",")).when(
-        text.isNotNull(), F.lit(empty)
-    )
+    hits = F.array_join(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), ",")
+    if empty is None:
+        return F.nullif(hits, F.lit(""))
+    # No topic matches an empty text, so an empty list is an empty join. One use of the
+    # hits, one search of the text.
+    return F.regexp_replace(hits, "^$", empty)
 
 
 def topic_count(text: Column, pattern: str) -> Column:

@@ -14,10 +14,10 @@ from postloom.streaming import capture as S
 from postloom.streaming import windows as SW
 
 
-def stream(spark, sf_dir, name):
+def stream(spark, sf_dir, name, partitions=None):
     schema = table(spark, sf_dir, name).schema
     # A glob, so that the table may be one file or a folder of files.
-    return S.file_stream(spark, f"{sf_dir}/{name}.parquet*", schema)
+    return S.file_stream(spark, f"{sf_dir}/{name}.parquet*", schema, partitions=partitions)
 
 
 def to_the_end(df, name, cap=None):
@@ -89,7 +89,8 @@ def stream_capped(spark, sf_dir):
 select doc_id, {trimmed(V2)} as clean from p""",
 )
 def stream_clean_posts(spark, sf_dir):
-    rows = stream(spark, sf_dir, "documents").select("doc_id", clean_markers(post_text()).alias("clean"))
+    cores = spark.sparkContext.defaultParallelism
+    rows = stream(spark, sf_dir, "documents", cores).select("doc_id", clean_markers(post_text()).alias("clean"))
     return to_the_end(rows, "clean")
 
 

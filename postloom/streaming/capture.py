@@ -12,13 +12,17 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, partitions: int | None = None,
 ) -> DataFrame:
-    """Files of a folder (or glob) as a replayable stream."""
+    """Files of a folder (or glob) as a replayable stream.
+
+    ``partitions`` spreads each batch when it is made of few large files.
+    """
     reader = spark.readStream.schema(schema).format(form)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    rows = reader.load(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: T.StructType) -> DataFrame:
