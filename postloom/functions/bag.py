@@ -26,14 +26,16 @@ from postloom.functions.words import (
 )
 
 MENTION = rf"@{fixed.WORD}+"
-HASHTAG = rf"#+{fixed.WORD}+[\p{{L}}\p{{N}}_'-]*{fixed.WORD}+"
+HASHTAG = rf"#+{fixed.WORD}[\p{{L}}\p{{N}}_'-]*{fixed.WORD}"
+# Tried at the first sign of a row of signs only.
+FAST_HASHTAG = f"(?<!#){HASHTAG}"
 LINK = r"(?iu)https?://[!$-_a-z]+"
 
 
 def bag_of_words(text: Column) -> Column:
     """Word array without pictographs, mentions, tags, links and loose punctuation."""
     out = newlines_to_space(drop_emoji(text))
-    for pattern in (MENTION, HASHTAG, LINK):
+    for pattern in (MENTION, FAST_HASHTAG, LINK):
         out = F.regexp_replace(out, pattern, "")
     out = without_characters(out, fixed.BAG_DROPPED_CHARACTERS)
     return drop_words_within(words(out), fixed.BAG_PUNCTUATION)

@@ -49,7 +49,7 @@ DISEASE_NAME_WIDE = (r"(?iu)corona(?:[\s]?virus)?", "coronavirus")
 DISEASE_NAME_TAG = rf"(?iu)#coronavirus(?!{WORD})"
 DISEASE_CODE = (r"(?iu)covid(?:[-\s_]?19)?", "covid19")
 DISEASE_CODE_NARROW = (r"(?iu)covid[-\s_]?19", "covid19")
-DISEASE_CODE_REPEATED = (r"(?iu)(?:covid[-\s]?19)+", "covid19")
+DISEASE_CODE_REPEATED = (r"(?iu)(?:covid[-\s]?19)++", "covid19")
 DISEASE_CODE_TAG = r"(?iu)#covid[_-]?19"
 VIRUS_CODE = (r"(?iu)sars[-]?cov[-]?2", "sarscov2")
 WHOLE_HASHTAG = (rf"#{NOT_SPACE_OR_COLON}+", "xxhashtag")
@@ -65,7 +65,11 @@ NUMBER = r"-?[0-9]+(?:\.[0-9]+)*"
 # ahead for the dot, and a test of the character before.
 FAST_SCHEME_OR_WWW_LINK = f"(?=[hfwHFW]){SCHEME_OR_WWW_LINK}"
 FAST_SCHEME_LINK = f"(?=[hfHF]){SCHEME_LINK}"
-FAST_BARE_DOMAIN = rf"(?<!{WORD}){WORD}(?=[^\s\x1c-\x1f\x85\p{{Z}}.]*+\.){BARE_DOMAIN[len(WORD):]}"
+# Tried once per run of non-space characters, so a run of any length costs one pass.
+FAST_BARE_DOMAIN = (
+    rf"(?<!{NOT_SPACE})([^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}]*+)"
+    rf"(?=[^\s\x1c-\x1f\x85\p{{Z}}.]*+\.){BARE_DOMAIN}"
+)
 FAST_NUMBER = rf"(?=[-0-9])(?<!{NOT_SPACE})-?[0-9]++(?:\.[0-9]++)*+"
 
 # ---- fixed values: repairs after tokenising, in the order they apply ---------
@@ -100,17 +104,17 @@ TOPICS = {
     "newline": r"\n+",
     "china": r"(?iu)china|chinese",
     "usa": r"(?iu)usa|united states|america|american",
-    "bioweapon": r"(?iu)(?:bio[\s]?weapon[s]?)+|biological weapon[s]?",
+    "bioweapon": r"(?iu)(?:bio[\s]?weapon[s]?)++|biological weapon[s]?",
     "usa_bioweapon": (
-        r"(?iu)(?:american|america|united states|usa)+|(?:bio[\s]?weapon[s]?)+"
+        r"(?iu)(?:american|america|united states|usa)++|(?:bio[\s]?weapon[s]?)++"
         r"|biological weapon[s]?"
     ),
-    "qanon": r"(?iu)jord[ae]n sath[ae]r|(?:q(?:\s)?anon)+",
-    "boiled_ginger": r"(?iu)boiled|(?:ginger)+|empty|(?:stomach)+",
+    "qanon": r"(?iu)jord[ae]n sath[ae]r|(?:q(?:\s)?anon)++",
+    "boiled_ginger": r"(?iu)boiled|(?:ginger)++|empty|(?:stomach)++",
     "fiveg": (
-        r"(?iu)(?:5[\s]?G)+|(?:network)+|(?:(?:tele)?phone)+|(?:signal(?:s)?)+|(?:radiation)+"
+        r"(?iu)(?:5[\s]?G)++|(?:network)++|(?:(?:tele)?phone)++|(?:signal(?:s)?)++|(?:radiation)++"
     ),
-    "fiveg_cause": r"(?iu)(?:5[\s]?G)+|(?:cause[s]?)+",
+    "fiveg_cause": r"(?iu)(?:5[\s]?G)++|(?:cause[s]?)++",
     "flu": r"(?iu)flu",
     "silver": r"(?iu)silver",
 }

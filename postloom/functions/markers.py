@@ -81,7 +81,7 @@ def mark_video_links(text: Column, padded: bool = True) -> Column:
 def mark_links(text: Column, bare_domains: bool = True) -> Column:
     """Scheme and www links; bare domains too, which also takes ``end.The``."""
     marked = F.regexp_replace(text, fixed.FAST_SCHEME_OR_WWW_LINK, " xxurl ")
-    return F.regexp_replace(marked, fixed.FAST_BARE_DOMAIN, " xxurl ") if bare_domains else marked
+    return F.regexp_replace(marked, fixed.FAST_BARE_DOMAIN, "$1 xxurl ") if bare_domains else marked
 
 
 def mark_scheme_links(text: Column) -> Column:

@@ -11,19 +11,20 @@ from postloom.functions import fixed
 from postloom.functions.emoji import name_emoji
 
 # Word-like units of a post, tried in this order at every position. Repetitions are over
-# character classes only, so a text of any length needs no deep recursion.
+# single characters, and those that may run past the found token are bounded (a host name
+# has 253 characters, a mailbox 64), so a text of any length is one pass.
 TOKEN_FORMS = {
     "link": r"(?:https?://|www\.)[^\s]*[^\s.,;:!?\"')\]]",
     "bare_link": (
-        r"[A-Za-z0-9][A-Za-z0-9.-]*\.(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es)"
+        r"[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es)"
         r"\b(?:/[^\s]*)?"
     ),
     "face": r"[<>]?[:;=8][-o*']?[)\](\[dDpP/}{@|\\]|[)\](\[dDpP/}{@|\\][-o*']?[:;=8][<>]?",
-    "markup": r"<[^>\s]+>",
-    "arrow": r"-+>|<-+",
+    "markup": r"<[^<>\s]+>",
+    "arrow": r"-{1,20}>|<-{1,20}",
     "handle": r"@[\p{L}\p{N}_]+",
-    "hashtag": r"#+[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]|#+[\p{L}\p{N}_]",
-    "mail": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_-][\p{L}\p{N}_.-]*[\p{L}\p{N}_-]",
+    "hashtag": r"#{1,9}[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]|#{1,9}[\p{L}\p{N}_]",
+    "mail": r"[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,180}[A-Za-z0-9]",
     "joined_word": r"\p{L}[\p{L}'_-]+\p{L}",
     "number": r"[+-]?\p{Nd}+[,/.:-]\p{Nd}+[+-]?",
     "word": r"[\p{L}\p{N}_]+",
@@ -34,8 +35,8 @@ TOKEN_FORMS = {
 # look ahead refuses the costly forms early. Named classes run faster than mixed ranges.
 FAST_STARTS = {
     "link": "(?=[hw])",
-    "bare_link": r"(?=[\p{Alnum}-]*+\.)",
-    "mail": r"(?=[\p{L}\p{N}_.+-]++@)",
+    "bare_link": r"(?=[\p{Alnum}-]{1,251}+\.)",
+    "mail": r"(?=[A-Za-z0-9_.+-]{1,64}+@)",
     "number": r"(?=[+\p{Nd}-])",
 }
 TOKEN = "(?:" + "|".join(TOKEN_FORMS.values()) + ")"

@@ -47,7 +47,7 @@ def text_literal(value: str) -> str:
 
 def rx(expression: str, pattern: str, replacement: str) -> str:
     """Global regexp_replace; patterns here hold no lookaround."""
-    pattern = pattern.replace("(?iu)", "(?i)")
+    pattern = pattern.replace("(?iu)", "(?i)").replace(")++", ")+")
     replacement = replacement.replace("$", "\\")
     return (
         f"regexp_replace({expression}, {text_literal(pattern)}, {text_literal(replacement)}, 'g')"

@@ -21,7 +21,7 @@ ALL_TOPICS = {**fixed.TOPICS, **PROSE}
 
 
 def plain(pattern):
-    return text_literal(pattern.replace("(?iu)", "(?i)"))
+    return text_literal(pattern.replace("(?iu)", "(?i)").replace(")++", ")+"))
 
 
 def hits_sql(pattern):
