@@ -33,12 +33,18 @@ def dense_counts(
 ) -> DataFrame:
     """As ``bucket_counts``, with a zero row for each empty bucket in between.
 
-    The series is as long as the covered time, whatever the number of rows; the counts
-    are small after aggregation and AQE picks their join.
+    The series is as long as the covered time, whatever the number of rows. Its ends come
+    from the first and last instant, so the counts are shuffled once.
     """
     counts = bucket_counts(df, ts, width, counted, right_closed)
-    spine = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr(f"interval {width}"))).alias("bucket")
+    bucket = bucket_end_right_closed(ts, width) if right_closed else bucket_start(ts, width)
+    ends = df.agg(F.array(F.min(ts), F.max(ts)).alias("ends")).select(F.explode("ends").alias(ts))
+    spine = (
+        ends.where(F.col(ts).isNotNull())
+        .select(bucket.alias("bucket"))
+        .agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+        .where(F.col("lo").isNotNull())
+        .select(F.explode(F.sequence("lo", "hi", F.expr(f"interval {width}"))).alias("bucket"))
     )
     return spine.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("n", F.lit(0)).alias("n")
