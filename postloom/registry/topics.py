@@ -18,6 +18,7 @@ PROSE = {
     "symbols": r"[#@&%]{3}",
 }
 ALL_TOPICS = {**fixed.TOPICS, **PROSE}
+FAST_TOPICS = {**fixed.FAST_TOPICS, **PROSE}
 
 
 def plain(pattern):
@@ -39,7 +40,7 @@ WITH_POSTS = f"with p as (select doc_id, {POST_SQL} as t from documents)\n"
     + " from p",
 )
 def topic_counts(spark, sf_dir):
-    counts = [T.topic_count(F.col("post"), p).alias(n) for n, p in ALL_TOPICS.items()]
+    counts = [T.topic_count(F.col("post"), p).alias(n) for n, p in FAST_TOPICS.items()]
     return posts(spark, sf_dir).select("doc_id", *counts)
 
 
@@ -69,7 +70,7 @@ def topic_plain_counts(spark, sf_dir):
     + " from p",
 )
 def topic_matches(spark, sf_dir):
-    hits = [T.topic_hits(F.col("post"), p).alias(n) for n, p in ALL_TOPICS.items()]
+    hits = [T.topic_hits(F.col("post"), p).alias(n) for n, p in FAST_TOPICS.items()]
     return posts(spark, sf_dir).select("doc_id", *hits)
 
 
@@ -81,7 +82,7 @@ def topic_matches(spark, sf_dir):
     + " from p",
 )
 def topic_flags(spark, sf_dir):
-    flags = [T.topic_flag(F.col("post"), p).alias(n) for n, p in ALL_TOPICS.items()]
+    flags = [T.topic_flag(F.col("post"), p).alias(n) for n, p in FAST_TOPICS.items()]
     return posts(spark, sf_dir).select("doc_id", *flags)
 
 
@@ -95,7 +96,7 @@ CATALOGUE_SQL = "values " + ", ".join(f"('{n}', {plain(p)})" for n, p in ALL_TOP
 select topic, count(*) as n from p join c on regexp_matches(t, pattern) group by topic""",
 )
 def topic_catalogue(spark, sf_dir):
-    catalogue = spark.createDataFrame(list(ALL_TOPICS.items()), "topic string, pattern string")
+    catalogue = spark.createDataFrame(list(FAST_TOPICS.items()), "topic string, pattern string")
     tagged = J.tag_topics(posts(spark, sf_dir), "post", catalogue)
     return tagged.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 

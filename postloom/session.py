@@ -39,6 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     For work that costs far more per row than moving the row, such as long cleanings of a
     few large or gzip files. A table with enough files or row groups is left as it is.
+    Meant for scans: asking for the partitions of a frame with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from postloom.functions import dates as D
+from postloom.functions import fixed
 from postloom.functions import topics as T
 from postloom.functions.nested import anchor_label, joined_items
 from postloom.operators import clean as K
@@ -61,6 +62,23 @@ def test_topics(spark):
     assert [tuple(r) for r in rows.collect()] == [("Flu,flu", "Flu,flu", 2), ("N/a", None, 0), (None, None, None)]
 
 
+TOPIC_TEXTS = [
+    "COVID-19 is usa a american America USA united states bioweapons bio weapon biological weapon",
+    "Jordan Sather Jorden Sathar QAnon qanon q anon, boiled ginger gingerginger Stomach EMPTY ſtomach",
+    "5G 5g 5 g 5g5g & telephone network phone ſignals signal radiation causes; China chineſe",
+]
+
+
+def test_fast_topics_find_the_same(spark):
+    df = spark.createDataFrame([(t,) for t in TOPIC_TEXTS], "t string")
+    for name, pattern in fixed.TOPICS.items():
+        fast = T.topic_hits(F.col("t"), fixed.FAST_TOPICS[name])
+        pairs = df.select(T.topic_hits(F.col("t"), pattern).alias("a"), fast.alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in pairs), name
+        if name not in ("newline", "flu", "silver"):
+            assert any(r["a"] != "N/a" for r in pairs), name
+
+
 def test_tag_topics_in_parts(spark, monkeypatch):
     monkeypatch.setattr(J, "TOPICS_PER_SCAN", 2)
     df = spark.createDataFrame([(1, "a b c"), (2, "c")], "id int, t string")
