@@ -179,3 +179,18 @@ def test_encode_with_loads_once_per_worker(spark):
     rows = V.encode_with(df, "id", "t", factory, batch_size=64).collect()
     assert len(rows) == 200 and all(r["embedding"][0] == r["id"] for r in rows)
     assert max(r["embedding"][1] for r in rows) == 4 and max(r["embedding"][2] for r in rows) == 64
+
+
+def test_task_functions_need_no_package_on_the_executor(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(S.matrix_of_units))
+    code = (
+        "import pickle, pyarrow as pa; f = pickle.load(open('f', 'rb'));"
+        "print(f(pa.array([[3.0, 4.0]])).tolist())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "[[0.6, 0.8]]", done.stderr
