@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm import quality, toxicity
+from postloom.llm.blob_ledger import digest, scan_documents
 from postloom.llm.classify import remainder
+from postloom.llm.decontaminate import contaminated
 from postloom.llm.packing import pack_documents
+from postloom.llm.pages import extract_pages
 from postloom.llm.repeats import remove_repeats
 from postloom.llm.simhash import hexadecimal, simhash_components
-from postloom.llm.vector_links import link_vectors
-from postloom.llm import quality, toxicity
 from postloom.llm.token_files import token_file_round_trip
+from postloom.llm.vector_links import link_vectors
 from postloom.session import use_utc
 
 VOCABULARY = 49_408
@@ -50,10 +53,33 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("bits").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan_documents(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.withColumn("spans_text", digest(F.col("spans"))).select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.col("spans_text").cast("binary"), 256).alias("base_sha256"),
+        F.col("spans_text").alias("spans"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
@@ -80,7 +106,10 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op6_main_text": op6_main_text,
     "op7_vector_dedup": op7_vector_dedup,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
