@@ -171,7 +171,7 @@ def densities(
         base = log(c / max(c - lc, 1) * lc + share * c + e)
         value = c / max(lc, 1) * max(tags[k], 1) / max(links[k], 1)
         density[k] = c / max(tags[k], 1) * log(max(value, 1)) / max(log(max(base, 1)), 1e-3)
-        if k:
+        if k and tree.tags[k] not in INLINE:  # marked-up words are no parts of a page
             sums[tree.parents[k]] += density[k]
     return density, sums, [a / max(b, 1) for a, b in zip(link_chars, chars)]
 
