@@ -146,6 +146,8 @@ TOPIC_PLAIN_COUNTS = {
     "silver": r"(?iu)silver",
 }
 NO_TOPIC = "N/a"
+# Topics whose list says so when there is no hit; the lists of the others are empty.
+TOLD_TOPICS = ["china", "usa"]
 
 # ---- fixed values: sizes and seeds --------------------------------------------
 MAX_POST_LENGTH = 330

@@ -7,14 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.fixed import NO_TOPIC
 
+def topic_hits(text: Column, pattern: str, empty: str | None = "") -> Column:
+    """All hits comma-joined; ``empty`` (or NULL) where there is none.
 
-def topic_hits(text: Column, pattern: str, empty: str | None = NO_TOPIC) -> Column:
-    """All hits comma-joined; ``empty`` (or NULL) where there is none."""
+    The country topics give ``fixed.NO_TOPIC`` then, the others empty text.
+    """
     hits = F.array_join(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), ",")
     if empty is None:
         return F.nullif(hits, F.lit(""))
+    if empty == "":
+        return hits
     # No topic matches an empty text, so an empty list is an empty join. One use of the
     # hits, one search of the text.
     return F.regexp_replace(hits, "^$", empty)

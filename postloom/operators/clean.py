@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql import types as T
 
 from postloom import schemas
@@ -86,7 +87,8 @@ def not_too_long(df: DataFrame, text: str, limit: int = fixed.MAX_POST_LENGTH) -
 
 
 def not_retweets(df: DataFrame, text: str = "text") -> DataFrame:
-    kept = df.where(~F.contains(F.col(text), F.lit("RT @")))
+    """Without retweets: neither the struct nor the text sign of one; NULL text stays."""
+    kept = df.where(~F.coalesce(F.contains(F.col(text), F.lit("RT @")), F.lit(False)))
     return kept.where(F.col("retweeted_status").isNull()) if "retweeted_status" in df.columns else kept
 
 
@@ -149,6 +151,11 @@ def sort_by_time(df: DataFrame, ts: str = "created_at", newest_first: bool = Fal
 
 
 def latest_per_key(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """One whole row per key, the one with the greatest ``order``."""
+    """One whole row per key, the one with the greatest ``order``; NULL is the smallest.
+
+    Of equal ones the same row is picked on every run, by a hash of its values.
+    """
     row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(key).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    place = F.struct(order.isNotNull(), order, F.xxhash64(*plain))
+    return df.groupBy(key).agg(F.max_by(row, place).alias("_row")).select("_row.*")

@@ -43,7 +43,9 @@ def attach_labels(vectors: DataFrame, labels: DataFrame, key: str, label: str =
 
 def attach_posts(points: DataFrame, posts: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
     """Points with the fields of their post; every point stays, none is doubled."""
-    one = latest_per_key(posts.select(key, *columns), key, order)
+    # only posts that a point asks for are aggregated
+    asked = posts.select(key, *columns).join(points.select(key).distinct(), key, "left_semi")
+    one = latest_per_key(asked, key, order)
     return points.join(one, key, "left")
 
 

@@ -75,8 +75,12 @@ def fit_svd(
 
 
 def load_or_fit(spark: SparkSession, path: str, df: DataFrame, version: str, **options) -> DataFrame:
-    """The stored model of ``version``; fitted and stored when there is none yet."""
-    place = f"{path}/version={version}"
+    """The stored model of ``version`` and these options (seed, fraction and the like);
+    fitted and stored when there is none yet.
+    """
+    chosen = {"seed": fixed.SEED, "fraction": fixed.SVD_FRACTION, **options}
+    named = "/".join(f"{k}={chosen[k]}" for k in sorted(chosen))
+    place = f"{path}/version={version}/{named}"
     try:
         return spark.read.schema(MODEL_SCHEMA).parquet(place)
     except Exception as missing:

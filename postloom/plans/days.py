@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions.dates import day_of_path
 from postloom.operators.joins import missing_days
 from postloom.operators.sampling import newest_days
-from postloom.sources.posts import write_days
+from postloom.sources.posts import drop_days, write_days
 
 STATUS = "step string, day date, rows bigint, finished timestamp"
 
@@ -36,6 +37,17 @@ def finished_days(spark: SparkSession, status_path: str, step: str) -> DataFrame
     return status.where(F.col("step") == step).select("day").distinct()
 
 
+def _days_seen(seen: Observation) -> set:
+    """Days among the rows that passed; none where the plan was known to be empty."""
+    try:
+        return set(seen.get["days"] or ())
+    except Py4JJavaError as problem:
+        # a plan that the optimizer reduced to no rows reports no row of metrics either
+        if "toPyRow" not in str(problem):
+            raise
+        return set()
+
+
 def run_days(
     spark: SparkSession,
     source: DataFrame,
@@ -48,7 +60,8 @@ def run_days(
     """One job over all missing days, newest first, at most ``at_most`` of them.
 
     ``source`` has a ``day`` column; ``work`` keeps it. A rerun after a failure replaces
-    the same days, since days only count as finished after their rows are written.
+    the same days, since days only count as finished after their rows are written. A day
+    that keeps no rows is finished with zero, and rows of earlier runs go.
     """
     todo = missing_days(days_of(source), finished_days(spark, status_path, step))
     wanted = newest_days(todo, at_most) if at_most else todo
@@ -56,13 +69,21 @@ def run_days(
     if not days:
         return []
     rows = source.where(F.col("day").isin(days))
-    write_days(work(rows), target)
-    # A day may lose all its rows on the way and is still finished.
-    counts = (
-        spark.read.parquet(target).where(F.col("day").isin(days)).groupBy("day")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    done = spark.createDataFrame([(d,) for d in days], "day date").join(counts, "day", "left")
+    seen = Observation(f"days of {step}")
+    out = work(rows)
+    # the set of days is no longer than the list of them
+    write_days(out.observe(seen, F.collect_set("day").alias("days")), target)
+    written = _days_seen(seen)
+    drop_days(spark, target, [d for d in days if d not in written])
+    done = spark.createDataFrame([(d,) for d in days], "day date")
+    if written:
+        counts = (
+            spark.read.schema(out.schema).parquet(target).where(F.col("day").isin(days))
+            .groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
+        )
+        done = done.join(counts, "day", "left")
+    else:
+        done = done.withColumn("rows", F.lit(0).cast("long"))
     done.select(
         F.lit(step).alias("step"),
         "day",
@@ -82,5 +103,5 @@ def run_each_day(
             work(day)
             outcome[day] = "done"
         except Exception as problem:
-            outcome[day] = f"failed: {type(problem).__name__}: {str(problem)[:200]}"
+            outcome[day] = f"failed: {type(problem).__name__}: {problem}"
     return outcome

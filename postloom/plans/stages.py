@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,9 @@ Encode = Callable[[DataFrame], DataFrame]
 def ingest(spark: SparkSession, paths: str | list[str], target: str) -> int:
     """Raw JSON lines to the clean table partitioned by day; returns the row count.
 
-    Lines that do not parse go to ``<target>_quarantine`` and are not counted.
+    Records that do not parse, or whose time does not, go whole to ``<target>_quarantine``,
+    below a folder for these paths, and are not counted. Reading the same paths again replaces
+    their records; those of other paths stay.
     """
     raw, before = counted(read_raw_posts(spark, paths), "raw rows")
     posts = raw.withColumn("created_at", platform_time(F.col("created_at")))
@@ -37,10 +40,14 @@ def ingest(spark: SparkSession, paths: str | list[str], target: str) -> int:
         broken = read_raw_posts(spark, paths).where(
             F.col("_corrupt_record").isNotNull() | platform_time(F.col("created_at")).isNull()
         )
-        broken.select("id_str", "created_at", "_corrupt_record").write.mode("overwrite").parquet(
-            f"{target}_quarantine"
-        )
-        if spark.read.parquet(f"{target}_quarantine").count() != lost:
+        named = [paths] if isinstance(paths, str) else sorted(paths)
+        run = hashlib.md5("\n".join(named).encode()).hexdigest()
+        kept = f"{target}_quarantine/run={run}"
+        whole = F.to_json(F.struct("*")).alias("record")
+        broken.select("id_str", "created_at", "_corrupt_record", whole).write.mode(
+            "overwrite"
+        ).parquet(kept)
+        if spark.read.parquet(kept).count() != lost:
             raise ValueError(f"{lost} rows are missing, not all of them are in quarantine")
     return after.get["rows"]
 

@@ -64,13 +64,16 @@ def topic_plain_counts(spark, sf_dir):
     + "select doc_id, "
     + ", ".join(
         f"case when len({hits_sql(p)}) > 0 then array_to_string({hits_sql(p)}, ',') "
-        f"else 'N/a' end as {n}"
+        f"else '{'N/a' if n in ('china', 'usa') else ''}' end as {n}"
         for n, p in ALL_TOPICS.items()
     )
     + " from p",
 )
 def topic_matches(spark, sf_dir):
-    hits = [T.topic_hits(F.col("post"), p).alias(n) for n, p in FAST_TOPICS.items()]
+    none = {n: fixed.NO_TOPIC for n in fixed.TOLD_TOPICS}
+    hits = [
+        T.topic_hits(F.col("post"), p, none.get(n, "")).alias(n) for n, p in FAST_TOPICS.items()
+    ]
     return posts(spark, sf_dir).select("doc_id", *hits)
 
 
@@ -109,7 +112,7 @@ select hits, count(*) as n from h where hits <> '' group by hits order by n desc
 )
 def topic_top_hits(spark, sf_dir):
     """Frequencies of the hit lists, without the bucket of posts that have none."""
-    hits = T.topic_hits(F.col("text"), PROSE["ending"])
+    hits = T.topic_hits(F.col("text"), PROSE["ending"], fixed.NO_TOPIC)
     rows = spread(table(spark, sf_dir, "documents")).select(hits.alias("hits"))
     return P.value_counts(rows, "hits", 26, skip_missing=True, missing=fixed.NO_TOPIC)
 

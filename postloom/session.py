@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,13 +49,15 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, below the cluster's checkpoint folder.
 
-    Executors on other machines must see it, so a machine-local folder is only made
-    where the session names none (tests on one machine).
+    Executors on other machines must see it, so a session on a cluster has to name one in
+    spark.checkpoint.dir; a machine-local folder is only made for a local master.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="postloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/postloom/{name}-{uuid.uuid4().hex}"

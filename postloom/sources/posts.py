@@ -136,3 +136,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Any frame as Parquet (in place of a pickled frame)."""
     df.write.mode(mode).parquet(path)
+
+
+def drop_days(spark: SparkSession, path: str, days: list, day: str = "day") -> None:
+    """Removes the partitions of some days, on any file system Spark writes to."""
+    for value in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={value}")
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(folder):
+            system.delete(folder, True)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from postloom.operators.clean import not_retweets
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet",
@@ -52,9 +54,8 @@ def tracked(
 
 
 def original(posts: DataFrame) -> DataFrame:
-    """Without retweets: neither the struct nor the text sign of one."""
-    kept = posts.where(~F.coalesce(F.contains(F.col("text"), F.lit("RT @")), F.lit(False)))
-    return kept.where(F.col("retweeted_status").isNull()) if "retweeted_status" in posts.columns else kept
+    """Without retweets, as in batch."""
+    return not_retweets(posts)
 
 
 def full_text(posts: DataFrame) -> DataFrame:

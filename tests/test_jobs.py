@@ -122,6 +122,36 @@ def test_day_runner(spark, tmp_path):
     assert PD.finished_days(spark, status, "other").count() == 0
 
 
+def test_rerun_empties_days(spark, tmp_path):
+    source = spark.range(40).select(
+        "id", F.expr("date_add(date'2024-01-01', cast(id % 2 as int))").alias("day")
+    )
+    target = str(tmp_path / "t")
+    run = lambda status, work: PD.run_days(
+        spark, source, "step", work, target, str(tmp_path / status)
+    )
+    rows = lambda: {str(r["day"]): r["count"] for r in SP.read_days(spark, target).groupBy("day").count().collect()}
+    run("a", lambda df: df)
+    assert rows() == {"2024-01-01": 20, "2024-01-02": 20}
+    run("b", lambda df: df.where("day > date'2024-01-01'"))
+    assert rows() == {"2024-01-02": 20}
+    days = run("c", lambda df: df.where("id < 0"))
+    assert days == ["2024-01-02", "2024-01-01"]
+    status = spark.read.parquet(str(tmp_path / "c"))
+    assert [r["rows"] for r in status.collect()] == [0, 0]
+
+
+def test_quarantine_keeps_all_runs(spark, tmp_path):
+    target = str(tmp_path / "clean")
+    for k in (1, 2):
+        write_raw(tmp_path / f"raw{k}", [raw_line(k), raw_line(10 + k, created_at="nonsense")])
+    for k in (1, 2, 2):
+        stages.ingest(spark, str(tmp_path / f"raw{k}"), target)
+    kept = spark.read.parquet(f"{target}_quarantine").collect()
+    assert sorted(r["id_str"] for r in kept) == sorted(raw_line(10 + k)["id_str"] for k in (1, 2))
+    assert all('"user"' in r["record"] for r in kept)
+
+
 def test_listed_days_and_failures(spark):
     paths = ["d/2024-01-01/2024-01-01_a.json", "d/2024-01-02/first_2024-01-02_a.json", "d/readme"]
     days = sorted(r["day"].isoformat() for r in PD.listed_days(spark, paths).collect())

@@ -55,11 +55,14 @@ def test_row_counts(spark):
 def test_topics(spark):
     df = spark.createDataFrame([(1, "Flu flu"), (2, "no"), (3, None)], "id int, t string")
     rows = df.orderBy("id").select(
-        T.topic_hits(F.col("t"), "(?iu)flu").alias("hits"),
+        T.topic_hits(F.col("t"), "(?iu)flu", fixed.NO_TOPIC).alias("hits"),
+        T.topic_hits(F.col("t"), "(?iu)flu").alias("plain_hits"),
         T.topic_hits(F.col("t"), "(?iu)flu", None).alias("null_hits"),
         T.topic_count(F.col("t"), "(?iu)flu").alias("n"),
     )
-    assert [tuple(r) for r in rows.collect()] == [("Flu,flu", "Flu,flu", 2), ("N/a", None, 0), (None, None, None)]
+    assert [tuple(r) for r in rows.collect()] == [
+        ("Flu,flu", "Flu,flu", "Flu,flu", 2), ("N/a", "", None, 0), (None, None, None, None)
+    ]
 
 
 TOPIC_TEXTS = [
@@ -76,7 +79,7 @@ def test_fast_topics_find_the_same(spark):
         pairs = df.select(T.topic_hits(F.col("t"), pattern).alias("a"), fast.alias("b")).collect()
         assert all(r["a"] == r["b"] for r in pairs), name
         if name not in ("newline", "flu", "silver"):
-            assert any(r["a"] != "N/a" for r in pairs), name
+            assert any(r["a"] for r in pairs), name
 
 
 def test_tag_topics_in_parts(spark, monkeypatch):
@@ -194,6 +197,26 @@ def test_latest_per_key(spark):
     assert sorted(r["t"] for r in K.latest_per_key(df, "k", F.col("v")).collect()) == ["b", "c"]
 
 
+def test_latest_per_key_with_null_order(spark):
+    """A row without an order value is a row; of equal ones the same is picked every time."""
+    rows = [(1, None, "a"), (2, None, "b"), (2, 3, "c"), (3, 5, "d"), (3, 5, "e")]
+    df = spark.createDataFrame(rows, "k int, v int, t string")
+    got = [
+        sorted((r["k"], r["t"]) for r in K.latest_per_key(x, "k", F.col("v")).collect())
+        for x in (df, df.repartition(5), df.orderBy(F.desc("t")))
+    ]
+    assert got[0][:2] == [(1, "a"), (2, "c")] and got[0] == got[1] == got[2]
+    points = spark.createDataFrame([(1, 0.5)], "k int, x double")
+    assert J.attach_posts(points, df, "k", F.col("v"), ["v", "t"]).first()["t"] == "a"
+
+
+def test_null_text_is_no_retweet(spark):
+    from postloom.streaming import capture
+
+    df = spark.createDataFrame([(1, None), (2, "RT @a b"), (3, "c")], "id int, text string")
+    assert [sorted(r["id"] for r in f(df).collect()) for f in (K.not_retweets, capture.original)] == [[1, 3]] * 2
+
+
 def test_no_partitionless_window_over_values(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet")
     assert "Window" not in plan_of(P.value_shares(rows, "lang"))
