@@ -24,8 +24,8 @@ LETTERS = "a-zß-öø-ÿ"
 PRE_TOKENS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+"
 PLAIN = "[!-~À-ÖØ-öø-ÿ]*"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Pre-tokens one Python worker remembers, about 200 bytes each.
-REMEMBERED = 1_000_000
+# Pre-tokens one Python worker remembers, about 300 bytes each.
+REMEMBERED = 200_000
 
 
 def _shared(path: str) -> dict:

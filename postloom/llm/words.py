@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 
 # Fixed values of XXH64.
 P1 = np.uint64(0x9E3779B185EBCA87)
