@@ -1,8 +1,8 @@
 """Sampling, learning and scoring shared by the two classifiers on documents.
 
-Only this much of a table reaches the driver: bags of at most ``per_class`` texts for each
-class, drawn by a hash of doc_id among the rows to learn from. Everything else, the shares of
-the classes and the scores, covers all rows.
+Learning takes bags of at most ``per_class`` texts for each class, drawn by a hash of doc_id
+among the rows to learn from, to one task; the driver gets its weights. Everything else, the
+shares of the classes and the scores, covers all rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.frames import text_column
-from postloom.llm.subwords import Model, bags, learn, scores, text_bags
+from postloom.llm.subwords import bags, learn, scores, text_bags
 from postloom.llm.words import slices
 
 
@@ -39,8 +39,8 @@ def _one_label(labels: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("_label").cast("int").alias("_label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settings) -> Model:
-    """Learns from the labelled rows for which ``learn_from`` (on doc_id) holds."""
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settings) -> np.ndarray:
+    """Weights of a model of the labelled rows for which ``learn_from`` (on doc_id) holds."""
     known = _one_label(labels, settings.label).filter(learn_from)
     known = known.select("doc_id", "_label", F.xxhash64("doc_id").alias("_draw"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
@@ -71,36 +71,53 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
 
     schema = "doc_id long, _label int, features array<int>, times array<int>"
     bagged = rows.select("doc_id", "text", "_label").mapInArrow(bag, schema)
-    table = bagged.sort("doc_id", F.hash("features", "times")).toArrow()
-    texts = list(zip(_arrays(table, "features"), _arrays(table, "times")))
-    return learn(
-        texts, np.array(table["_label"].to_pylist(), np.int64), share, steps=settings.steps
-    )
+
+    def train(batches):
+        table = pa.Table.from_batches(batches)
+        ids = table["doc_id"].to_pylist()
+        bag_list = list(zip(_arrays(table, "features"), _arrays(table, "times")))
+        # the same order however the rows arrive
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], len(bag_list[k][0])))
+        labels = np.array(table["_label"].to_pylist(), np.int64)[order]
+        model = learn([bag_list[k] for k in order], labels, share, steps=settings.steps)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], names=["weights"]
+        )
+
+    def train_some(batches):
+        some = [b for b in batches if b.num_rows]
+        if some:
+            yield from train(some)
+
+    found = bagged.repartition(1).mapInArrow(train_some, "weights binary").collect()
+    if not found:
+        return learn([], np.empty(0, np.int64), share).weights()
+    return np.frombuffer(found[0]["weights"], "<f8")
 
 
 def _arrays(table: pa.Table, name: str) -> list[np.ndarray]:
     return [
-        values.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        values.values.to_numpy(zero_copy_only=False).astype(np.int32)
         for chunk in table[name].chunks
         for values in chunk
     ]
 
 
-def with_score(docs: DataFrame, model: Model, settings: Settings, name: str = "score") -> DataFrame:
+def with_score(docs: DataFrame, weights: np.ndarray, settings: Settings, name: str = "score") -> DataFrame:
     """``docs`` with all its columns and the probability of label 1 for each whole text.
 
     One pass without a shuffle; NULL text scores as empty text. A column that is called
     ``name`` already is replaced.
     """
     docs = docs.drop(name)
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights().astype(np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast(np.asarray(weights, np.float64))
     rows = docs.withColumn("__pl_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def score(batches):
         for batch in batches:
             for part in slices(batch, "__pl_text"):
                 found = scores(
-                    bags(part.column("__pl_text"), settings.lower, settings.pairs), weights.value
+                    bags(part.column("__pl_text"), settings.lower, settings.pairs), shared.value
                 )
                 columns = [part.column(k) for k in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(

@@ -25,8 +25,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTI
     with one class only its share of the labels. A NULL doc_id is scored and never learned
     from; of several labels of one doc_id the larger counts. Rows and columns stay as they are.
     """
-    model = fit(docs, labels, remainder(F.col("doc_id"), FOLDS) != HELD_OUT, settings)
-    return with_score(docs, model, settings, "quality_score")
+    weights = fit(docs, labels, remainder(F.col("doc_id"), FOLDS) != HELD_OUT, settings)
+    return with_score(docs, weights, settings, "quality_score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

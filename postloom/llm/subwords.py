@@ -148,7 +148,7 @@ class _Batch:
         self.weight = np.concatenate([n / (n.sum() + NEUTRAL) for _, n in bag]).astype(np.float32)[:, None]
         self.starts = np.cumsum(sizes) - sizes
         order = np.argsort(self.index, kind="stable")
-        doc = np.repeat(np.arange(len(rows)), sizes)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         self.doc = doc[order]
         self.weight_sorted = (self.weight * self.some[doc])[order]
         self.seen, self.firsts = np.unique(self.index[order], return_index=True)
