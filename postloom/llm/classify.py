@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.frames import text_column
 from postloom.llm.subwords import bags, learn, scores, text_bags
-from postloom.llm.words import slices
+from postloom.llm.words import give_back, slices
 
 
 class Settings(NamedTuple):
@@ -88,6 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
         some = [b for b in batches if b.num_rows]
         if some:
             yield from train(some)
+            some.clear()
+            give_back()
 
     found = bagged.repartition(1).mapInArrow(train_some, "weights binary").collect()
     if not found:
@@ -124,6 +126,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, settings: Settings, name: s
                     [*columns, pa.array(found, pa.float64())],
                     names=[*part.schema.names[:-1], name],
                 )
+        give_back()
 
     schema = docs.schema.add(name, "double")
     return rows.mapInArrow(score, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.frames import components, key_filter, store, text_column, with_hit
-from postloom.llm.words import slices, split_words, text_bytes, xxh64
+from postloom.llm.words import give_back, slices, split_words, text_bytes, xxh64
 
 SHINGLE = 3
 DISTANCE = 3
@@ -63,6 +63,7 @@ def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "bits"]
                 )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs))
     return rows.mapInArrow(run, "doc_id long, bits long")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from postloom.llm.words import ragged, slices
+from postloom.llm.words import give_back, ragged, slices
 
 # Fixed values of the tokenizer's file: its pre-token pattern for the letters handled here,
 # and the printable stand-ins of bytes.
@@ -97,5 +97,6 @@ def id_batches(path: str, last: int):
         for batch in batches:
             for part in slices(batch):
                 yield part, *encoder.batch(part.column("text"), last)
+        give_back()
 
     return run

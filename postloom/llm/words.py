@@ -6,6 +6,8 @@ works text by text, so a batch costs a few passes over its bytes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +30,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def give_back() -> None:
+    """Returns a finished task's memory to the system; Python workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``SLICE_BYTES`` of text, one row at least."""
     if batch.num_rows == 0:
