@@ -9,6 +9,7 @@ printable ASCII and Latin-1 letters go to the tokenizer as they are.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import types
 
@@ -21,11 +22,16 @@ from postloom.llm.words import give_back, ragged, slices
 # Fixed values of the tokenizer's file: its pre-token pattern for the letters handled here,
 # and the printable stand-ins of bytes.
 LETTERS = "a-zß-öø-ÿ"
-PRE_TOKENS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+"
+PRE_TOKENS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\\n]+|\\n"
 PLAIN = "[!-~À-ÖØ-öø-ÿ]*"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Pre-tokens one Python worker remembers, about 300 bytes each.
-REMEMBERED = 200_000
+ID_BYTES = 4
+# Pre-tokens one Python worker remembers, about 200 bytes each; those of one slice always fit.
+REMEMBERED = 300_000
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _shared(path: str) -> dict:
@@ -46,35 +52,54 @@ class WordIds:
         self.model = self.tokenizer.model
         self.known = state["known"]
         self.cut = re.compile(PRE_TOKENS).findall
-        self.plain = re.compile(PLAIN).fullmatch
         hidden = iter(range(256, 512))
         self.shown = {b: chr(b) if b in SHOWN else chr(next(hidden)) for b in range(256)}
 
-    def _pre_token(self, part: str) -> list[int]:
-        ids = self.known.get(part)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+    def _learn(self, parts: list[str]) -> None:
+        new = set(parts).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(parts)
+        for part in new:
             text = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-            ids = self.known[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
-
-    def word(self, word: str) -> list[int]:
-        if "<|" in word or not self.plain(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        parts = self.cut(word.lower())
-        if len(parts) == 1:
-            return self._pre_token(parts[0])
-        return [i for p in parts for i in self._pre_token(p)]
+            self.known[part] = packed([t.id for t in self.model.tokenize(text)])
+        self.known["\n"] = b""
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, one after the other, and how many each has.
+
+        The plain words are cut in one go, a line each; the empty ids of a line's end mark
+        where a word ends.
+        """
+        plain = pc.match_substring_regex(words, f"^{PLAIN}$")
+        plain = pc.and_not(plain, pc.match_substring(words, "<|"))
+        lines = "".join(w + "\n" for w in words.filter(plain).to_pylist())
+        parts = self.cut(lines.lower())
+        self._learn(parts)
+        found = list(map(self.known.__getitem__, parts))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // ID_BYTES)
+        ends = upto[np.fromiter((part == "\n" for part in parts), bool, len(parts))]
+        plain = plain.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(ends, prepend=0)
+        if plain.all():
+            return flat, sizes
+        others = words.filter(pa.array(~plain)).to_pylist()
+        others = [packed(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in others]
+        sizes[~plain] = np.fromiter(map(len, others), np.int64, len(others)) // ID_BYTES
+        out = np.empty(int(sizes.sum()), np.uint32)
+        mine = np.repeat(plain, sizes)
+        out[mine] = flat
+        out[~mine] = np.frombuffer(b"".join(others), "<u4")
+        return out, sizes
 
     def batch(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with the id ``last`` after each, and where each text's begin."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         split = split.cast(pa.large_list(pa.large_string()))
         words = split.flatten().dictionary_encode()
-        found = [self.word(w) for w in words.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat, sizes = self.words(words.dictionary)
         begins = np.cumsum(sizes) - sizes
         index = words.indices.to_numpy(zero_copy_only=False)
         ids = flat[ragged(begins[index], sizes[index])]
