@@ -12,7 +12,8 @@ from postloom.functions.emoji import name_emoji
 
 # Word-like units of a post, tried in this order at every position. Repetitions are over
 # single characters, and those that may run past the found token are bounded (a host name
-# has 253 characters, a mailbox 64), so a text of any length is one pass.
+# has 253 characters, a mailbox 64) or start at a run's first character, so a text of any
+# length is one pass.
 TOKEN_FORMS = {
     "link": r"(?:https?://|www\.)[^\s]*[^\s.,;:!?\"')\]]",
     "bare_link": (
@@ -21,9 +22,9 @@ TOKEN_FORMS = {
     ),
     "face": r"[<>]?[:;=8][-o*']?[)\](\[dDpP/}{@|\\]|[)\](\[dDpP/}{@|\\][-o*']?[:;=8][<>]?",
     "markup": r"<[^<>\s]+>",
-    "arrow": r"-{1,20}>|<-{1,20}",
+    "arrow": r"-+>|<-+",
     "handle": r"@[\p{L}\p{N}_]+",
-    "hashtag": r"#{1,9}[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]|#{1,9}[\p{L}\p{N}_]",
+    "hashtag": r"#+[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]|#+[\p{L}\p{N}_]",
     "mail": r"[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,180}[A-Za-z0-9]",
     "joined_word": r"\p{L}[\p{L}'_-]+\p{L}",
     "number": r"[+-]?\p{Nd}+[,/.:-]\p{Nd}+[+-]?",
@@ -36,6 +37,9 @@ TOKEN_FORMS = {
 FAST_STARTS = {
     "link": "(?=[hw])",
     "bare_link": r"(?=[\p{Alnum}-]{1,251}+\.)",
+    # a run of dashes or of # is looked through once, possessively, and only from its start
+    "arrow": r"(?=<-|(?<!-)-++>)",
+    "hashtag": r"(?=(?<!#)#++[\p{L}\p{N}_])",
     "mail": r"(?=[A-Za-z0-9_.+-]{1,64}+@)",
     "number": r"(?=[+\p{Nd}-])",
 }

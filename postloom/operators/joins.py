@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from postloom.functions.topics import matched_topics
 from postloom.functions.words import words
-from postloom.operators.blocks import collect_small
 from postloom.operators.clean import latest_per_key
 from postloom.operators.sampling import exact_sample
 
-# A word list of this many rows is some tens of megabytes.
-BROADCAST_ROWS = 500_000
-TOPICS_PER_SCAN = 200
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast when it has at most ``max_rows`` rows, else left to Spark."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+# Topics matched by one expression, and patterns that one plan carries as literals.
+TOPICS_PER_ARRAY = 200
+PATTERNS_PER_SCAN = 20_000
 
 
 def missing_days(wanted: DataFrame, done: DataFrame, day: str = "day") -> DataFrame:
@@ -63,45 +53,43 @@ def sentiment_scores(
 ) -> DataFrame:
     """(key, sentiment): word valences summed and squashed to -1..1, 0 without a hit.
 
-    ``lexicon`` is (word, valence), one row per word. With a broadcast lexicon the words
-    are summed per post where they are read, and one row per post is shuffled. With a
-    larger one the words are counted per post first; AQE splits the partition of a word
-    that most posts share.
+    ``lexicon`` is (word, valence), one row per word. Spark broadcasts it by its bytes,
+    and else joins by word; AQE splits the partition of a word that most posts share.
     """
     found = words(F.lower(F.col(text))) if tokens is None else tokens
     each = posts.select(F.col(key), F.explode_outer(found).alias("word"))
     valences = lexicon.select("word", "valence")
-    if is_small(valences):
-        scored = each.join(F.broadcast(valences), "word", "left").withColumn("times", F.lit(1))
-    else:
-        counted = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
-        scored = counted.join(valences, "word", "left")
-    total = F.coalesce(F.sum(F.col("valence") * F.col("times")), F.lit(0.0))
-    summed = scored.groupBy(key).agg(total.alias("s"))
+    total = F.coalesce(F.sum("valence"), F.lit(0.0))
+    summed = each.join(valences, "word", "left").groupBy(key).agg(total.alias("s"))
     return summed.select(key, (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("sentiment"))
 
 
 def drop_listed_words(tokens: DataFrame, stop_words: DataFrame, word: str = "word") -> DataFrame:
-    """Exploded words without those of a (long) list."""
-    return tokens.join(small_side(stop_words.select(word).distinct()), word, "left_anti")
+    """Exploded words without those of a (long) list, broadcast or not by its bytes."""
+    return tokens.join(stop_words.select(word).distinct(), word, "left_anti")
 
 
-def tag_topics(df: DataFrame, text: str, catalogue: DataFrame, max_topics: int = 20_000) -> DataFrame:
+def tag_topics(
+    df: DataFrame, text: str, catalogue: DataFrame, per_scan: int = PATTERNS_PER_SCAN
+) -> DataFrame:
     """One row per post and matching topic of a (topic, pattern) table.
 
     The patterns become literals of one projection, compiled once per task; no pair of
-    post and pattern is ever built. Long catalogues take one scan per 200 patterns.
+    post and pattern is ever built. ``per_scan`` patterns go into one scan of the posts,
+    and a longer catalogue takes several.
     """
-    rows = collect_small(catalogue.select("topic", "pattern").distinct(), max_topics)
-    if rows is None:
-        raise ValueError(f"catalogue has more than {max_topics} patterns")
-    rows = sorted((r["topic"], r["pattern"]) for r in rows)
+    listed = catalogue.select("topic", "pattern").distinct().orderBy("topic", "pattern")
+    rows = [(r["topic"], r["pattern"]) for r in listed.toLocalIterator()]
+    if len({topic for topic, _ in rows}) < len(rows):
+        raise ValueError("a topic has several patterns; join them with |")
     out = None
-    for start in range(0, max(len(rows), 1), TOPICS_PER_SCAN):
-        part = dict(rows[start : start + TOPICS_PER_SCAN])
-        if len(part) < len(rows[start : start + TOPICS_PER_SCAN]):
-            raise ValueError("a topic has several patterns; join them with |")
-        hits = matched_topics(F.col(text), part) if part else F.array().cast("array<string>")
-        tagged = df.withColumn("topic", F.explode(hits))
+    for start in range(0, max(len(rows), 1), per_scan):
+        part = rows[start : start + per_scan]
+        hits = [
+            matched_topics(F.col(text), dict(part[i : i + TOPICS_PER_ARRAY]))
+            for i in range(0, len(part), TOPICS_PER_ARRAY)
+        ]
+        found = F.flatten(F.array(*hits)) if hits else F.array().cast("array<string>")
+        tagged = df.withColumn("topic", F.explode(found))
         out = tagged if out is None else out.unionByName(tagged)
     return out

@@ -19,8 +19,11 @@ MAX_WIDTH = 8192
 MODEL_SCHEMA = "component int, singular_value double, weights array<double>"
 
 
-def gram_rows(df: DataFrame, vector: str = "embedding", tasks: int = 2000) -> DataFrame:
-    """(i, row): the sum of outer products of all vectors, one row per position."""
+def gram_rows(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(i, row): the sum of outer products of all vectors, one row per position.
+
+    Each task sends one matrix, whatever the number of its vectors.
+    """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,8 +38,7 @@ def gram_rows(df: DataFrame, vector: str = "embedding", tasks: int = 2000) -> Da
                 names=["i", "row"],
             )
 
-    # Each task sends a whole matrix on, so there are at most ``tasks`` of them.
-    parts = rows.coalesce(tasks).mapInArrow(partial, "i int, row array<double>")
+    parts = rows.mapInArrow(partial, "i int, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row"))
     return summed.select("i", vector_to_array("row").alias("row"))
 
@@ -91,8 +93,13 @@ def load_or_fit(spark: SparkSession, path: str, df: DataFrame, version: str, **o
 
 
 def project(df: DataFrame, model: DataFrame, vector: str = "embedding", names=("x", "y")) -> DataFrame:
-    """``df`` without its vector, with one coordinate per component. No shuffle."""
-    rows = model.orderBy("component").limit(len(names)).collect()
+    """``df`` without its vector, with one coordinate per component. No shuffle.
+
+    ``names`` has a name for each component of the model.
+    """
+    rows = model.orderBy("component").limit(len(names) + 1).collect()
+    if len(rows) != len(names):
+        raise ValueError(f"{len(names)} names, but not as many components")
     weights = df.sparkSession.sparkContext.broadcast(np.array([r["weights"] for r in rows]).T)
     others = [f for f in df.schema if f.name != vector]
     kept = [f.name for f in others]

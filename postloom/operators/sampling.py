@@ -26,14 +26,20 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: int = fixed.SEED) -> Dat
     """Exactly ``n`` rows (all rows when there are fewer).
 
     A first pass counts tickets by their leading four digits and finds where the n-th
-    one lies; only rows up to there, about n + rows / 65536, take part in the sort.
+    one lies; only rows up to there, about n + rows / 65536, are ranked, among those of
+    the same lead, so the sample is spread over as many tasks as it has leads.
     """
     lead = F.substring(ticket(key, seed), 1, 4)
     counts = df.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.orderBy("lead").rowsBetween(W.unboundedPreceding, W.currentRow))
-    edge = counts.select("lead", upto.alias("upto")).where(F.col("upto") >= n).agg(F.min("lead"))
-    near = df.where(lead <= F.coalesce(edge.scalar(), F.lit("ffff")))
-    return near.orderBy(ticket(key, seed), key).limit(n)
+    last = counts.select("lead", (F.lit(n) - upto + F.col("c")).alias("wanted"), upto.alias("upto"))
+    last = last.where(F.col("upto") >= n).agg(F.min(F.struct("lead", "wanted")).alias("e"))
+    edge, wanted = last.select("e.lead").scalar(), last.select("e.wanted").scalar()
+    # no edge: fewer rows than n, and "g" is beyond all leads
+    near = df.withColumn("_lead", lead).where(F.col("_lead") <= F.coalesce(edge, F.lit("g")))
+    place = F.row_number().over(W.partitionBy("_lead").orderBy(ticket(key, seed), key))
+    kept = (F.col("_lead") < F.coalesce(edge, F.lit("g"))) | (F.col("_place") <= wanted)
+    return near.withColumn("_place", place).where(kept).drop("_lead", "_place")
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_fast_topics_find_the_same(spark):
 
 
 def test_tag_topics_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(J, "TOPICS_PER_SCAN", 2)
+    monkeypatch.setattr(J, "TOPICS_PER_ARRAY", 2)
     df = spark.createDataFrame([(1, "a b c"), (2, "c")], "id int, t string")
     catalogue = spark.createDataFrame([(x, x) for x in "abcd"], "topic string, pattern string")
     tagged = J.tag_topics(df, "t", catalogue).select("id", "topic")
@@ -108,7 +108,11 @@ def test_histogram_of_one_value(spark):
 def test_top_k_is_not_a_full_sort(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet")
     assert "TakeOrderedAndProject" in plan_of(P.value_counts(rows, "lang", 3))
-    assert "TakeOrderedAndProject" in plan_of(L.exact_sample(rows, "doc_id", 10))
+
+
+def test_exact_sample_is_ranked_in_many_tasks(spark, data):
+    plan = plan_of(L.exact_sample(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", 10))
+    assert "TakeOrderedAndProject" not in plan and "hashpartitioning(_lead" in plan
 
 
 TIMES = ["10:00:00", "10:15:00", "10:15:00.000001", "10:59:59", "12:00:00"]
@@ -182,10 +186,19 @@ def test_points_keep_their_rows(spark):
     assert [(r["k"], r["t"]) for r in rows] == [("a", "new"), ("b", None)]
 
 
-@pytest.mark.parametrize("limit", [10, 0])
-def test_sentiment(spark, monkeypatch, limit):
-    """The same scores whether or not the lexicon is small enough to broadcast."""
-    monkeypatch.setattr(J.is_small, "__defaults__", (limit,))
+def test_many_topics(spark):
+    """Every pattern counts, in one scan or in several; a topic has one pattern."""
+    topics = spark.createDataFrame([(f"t{i:03}", f"w{i:03}") for i in range(450)], "topic string, pattern string")
+    posts = spark.createDataFrame([(1, "w000 w210 w449"), (2, "none"), (3, None)], "id int, text string")
+    for per_scan in (1000, 200):
+        rows = J.tag_topics(posts, "text", topics, per_scan).collect()
+        assert sorted((r["id"], r["topic"]) for r in rows) == [(1, "t000"), (1, "t210"), (1, "t449")]
+    assert J.tag_topics(posts, "text", topics.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        J.tag_topics(posts, "text", topics.withColumn("topic", F.lit("one")))
+
+
+def test_sentiment(spark):
     posts = spark.createDataFrame([(1, "Good good bad"), (2, "nothing"), (3, None)], "id int, t string")
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
     rows = {r["id"]: r["sentiment"] for r in J.sentiment_scores(posts, lexicon, "id", "t").collect()}

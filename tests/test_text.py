@@ -113,3 +113,17 @@ def test_cleaning_is_deterministic_for_the_optimizer(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet")
     clean = rows.select("lang", markers.clean_markers(F.col("text")).alias("c")).where("lang = 'en'")
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan_of(clean)
+
+
+def test_long_runs_are_one_token(spark):
+    """Runs of any length before a tag, or in an arrow, are not cut."""
+    texts = ["#" * 12 + "tag a", "-" * 25 + "> b", "<" + "-" * 30 + " c", "---- d", "## e"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["w"] for r in df.select("i", normalise.post_tokens(F.col("t")).alias("w")).collect()}
+    assert got == {
+        0: [texts[0][:-2], "a"],
+        1: [texts[1][:-2], "b"],
+        2: [texts[2][:-2], "c"],
+        3: [*"----", "d"],
+        4: [*"##", "e"],
+    }
