@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# Buckets of a dense series that one row stands for before it is unfolded.
+RUN_BUCKETS = 10_000
+
 
 def bucket_start(ts: str, width: str) -> Column:
     """Left-closed, left-labelled bucket."""
@@ -34,17 +37,22 @@ def dense_counts(
     """As ``bucket_counts``, with a zero row for each empty bucket in between.
 
     The series is as long as the covered time, whatever the number of rows. Its ends come
-    from the first and last instant, so the counts are shuffled once.
+    from the first and last instant, so the counts are shuffled once. It is made in runs of
+    ``RUN_BUCKETS``, dealt to all tasks: one stray instant makes no long array.
     """
     counts = bucket_counts(df, ts, width, counted, right_closed)
     bucket = bucket_end_right_closed(ts, width) if right_closed else bucket_start(ts, width)
     ends = df.agg(F.array(F.min(ts), F.max(ts)).alias("ends")).select(F.explode("ends").alias(ts))
+    step = F.expr(f"interval {width}")
+    last = F.least("hi", F.col("first") + step * (RUN_BUCKETS - 1))
     spine = (
         ends.where(F.col(ts).isNotNull())
         .select(bucket.alias("bucket"))
         .agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
         .where(F.col("lo").isNotNull())
-        .select(F.explode(F.sequence("lo", "hi", F.expr(f"interval {width}"))).alias("bucket"))
+        .select("hi", F.explode(F.sequence("lo", "hi", step * RUN_BUCKETS)).alias("first"))
+        .repartition("first")
+        .select(F.explode(F.sequence("first", last, step)).alias("bucket"))
     )
     return spine.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("n", F.lit(0)).alias("n")
