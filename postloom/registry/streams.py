@@ -105,6 +105,30 @@ def stream_topics(spark, sf_dir):
     return to_the_end(stream(spark, sf_dir, "documents").select("doc_id", topics.alias("topics")), "topics")
 
 
+@query(
+    "stream_quarantine",
+    """select 'good' as sink, conv_id, turn, text, null::varchar as _corrupt_record
+from conversations where turn <> 1
+union all
+select 'quarantine', null, null, null, '{"conv_id": ' || conv_id || ' ' || role
+from conversations where turn = 1""",
+)
+def stream_quarantine(spark, sf_dir):
+    """JSON lines as a stream: those that parse go to one sink, broken ones whole to another."""
+    path = shared_folder(spark, "lines")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    broken = F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(" "), F.col("role"))
+    line = F.when(F.col("turn") == 1, broken).otherwise(F.to_json(F.struct("conv_id", "turn", "text")))
+    rows.select(line.alias("value")).write.text(path)
+    lines = S.file_stream(spark, path, spark.read.text(path).schema, "text")
+    good, bad = S.split_malformed(S.parse_lines(lines, rows.drop("role").schema))
+    return (
+        to_the_end(good, "good")
+        .withColumn("sink", F.lit("good"))
+        .unionByName(to_the_end(bad, "quarantine").withColumn("sink", F.lit("quarantine")), True)
+    )
+
+
 CLOSED = """window_end <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"""
 
 

@@ -87,6 +87,18 @@ def capture_columns_short(posts: DataFrame) -> DataFrame:
     )
 
 
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, column: str = "value", bad: str = "_corrupt_record"
+) -> DataFrame:
+    """JSON texts to columns; a text that does not parse, or is blank, is kept whole in ``bad``."""
+    kind = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    whole = F.coalesce(F.col(column), F.lit(""))
+    return lines.select(F.from_json(column, kind).alias("_p"), whole.alias("_whole")).select(
+        *[F.col("_p")[f.name].alias(f.name) for f in schema.fields],
+        F.when(F.col("_p").isNull(), F.col("_whole")).otherwise(F.col("_p")[bad]).alias(bad),
+    )
+
+
 def split_malformed(posts: DataFrame, bad: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine rows)."""
     return posts.where(F.col(bad).isNull()).drop(bad), posts.where(F.col(bad).isNotNull()).select(bad)
