@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from postloom.operators.blocks import collect_small, matrix
-from postloom.session import ensure_checkpoints
+from postloom.operators.blocks import matrix
+from postloom.session import ensure_checkpoints, shared_folder
 
-# Up to this many rows the built-in exact median is used as it is.
-SMALL_ROWS = 50_000
 # Rows drawn to place the brackets, and how many standard errors wide they are.
 BRACKET_ROWS = 200_000
 BRACKET_ERRORS = 8.0
-# Labels whose brackets are copied to the executors at a time.
-MAX_LABELS = 5_000
 
 
 def _present(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -67,22 +63,16 @@ def _as_vectors(cells: DataFrame) -> DataFrame:
 
 
 def median_centroids(
-    df: DataFrame, label: str = "label", vector: str = "embedding", small_rows: int = SMALL_ROWS
+    df: DataFrame, label: str = "label", vector: str = "embedding", bracket_rows: int = BRACKET_ROWS
 ) -> DataFrame:
     """Exact median vector per label, the mean of the middle two for an even count.
 
-    The built-in median keeps all values of a group in one task. Beyond ``small_rows``
-    rows the middle values are therefore selected by rank, see ``_ranked_medians``.
+    The built-in median keeps all values of a group in one task; here the middle values are
+    selected by rank at every size, see ``_ranked_medians``. ``bracket_rows`` are drawn to
+    place the intervals.
     """
-    rows = _present(df, label, vector)
-    total = rows.count()
-    if total <= small_rows:
-        cells = rows.select("label", F.posexplode("v").alias("pos", "x"))
-        return _as_vectors(
-            cells.groupBy("label", "pos").agg(F.median("x").alias("value"))
-        )
     ensure_checkpoints(df.sparkSession)
-    return _as_vectors(_all_ranked_medians(rows, total, 1))
+    return _as_vectors(_ranked_medians(_present(df, label, vector), bracket_rows))
 
 
 def approx_median_centroids(
@@ -93,28 +83,17 @@ def approx_median_centroids(
     return _as_vectors(cells.groupBy("label", "pos").agg(middle.alias("value")))
 
 
-def _all_ranked_medians(rows: DataFrame, total: int, parts: int) -> DataFrame:
-    """All labels at once, or in as many parts as keep each part's labels few."""
-    out = None
-    for part in range(parts):
-        mine = F.pmod(F.xxhash64("label"), F.lit(parts)) == part
-        some = rows if parts == 1 else rows.where(mine)
-        brackets = _brackets(some, total)
-        if brackets is None:
-            return _all_ranked_medians(rows, total, parts * 4)
-        medians = _ranked_medians(some, brackets)
-        out = medians if out is None else out.unionByName(medians)
-    return out
+def _brackets(rows: DataFrame, bracket_rows: int) -> DataFrame:
+    """(label, lo, hi): per position an interval that holds the median, from a small sample.
 
-
-def _brackets(rows: DataFrame, total: int) -> dict | None:
-    """Per label an interval per position that holds the median, from a small sample.
-
-    A label with few sampled rows gets the whole line; it then is a rare label, whose
-    values are few.
+    A label with few or no sampled rows gets the whole line; it then is a rare label, whose
+    values are few. Any sample leads to the same medians; it only decides how many values
+    are looked at. The table is written once, so that every task sees the same intervals and
+    the join knows its size.
     """
-    kept = rows.sample(False, min(1.0, BRACKET_ROWS / total), 8) if total > BRACKET_ROWS else rows
-    cells = kept.select("label", F.posexplode("v").alias("pos", "x"))
+    spark = rows.sparkSession
+    share = min(1.0, bracket_rows / max(1, rows.count()))
+    cells = rows.sample(False, share, 8).select("label", F.posexplode("v").alias("pos", "x"))
     arrays = cells.groupBy("label", "pos").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     n = F.size("xs")
     margin = F.ceil(F.lit(BRACKET_ERRORS / 2) * F.sqrt(n)).cast("int") + 1
@@ -126,62 +105,62 @@ def _brackets(rows: DataFrame, total: int) -> dict | None:
         F.when(F.col("low") >= 0, F.get("xs", F.col("low"))).alias("lo"),
         F.get("xs", F.col("high")).alias("hi"),
     )
-    found = collect_small(
-        picked.groupBy("label").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("cells")
-        ),
-        MAX_LABELS,
+    ends = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi")))
+    found = picked.groupBy("label").agg(ends.alias("ends")).select(
+        "label",
+        F.transform("ends", lambda e: F.coalesce(e["lo"], F.lit(float("-inf")))).alias("lo"),
+        F.transform("ends", lambda e: F.coalesce(e["hi"], F.lit(float("inf")))).alias("hi"),
     )
-    return None if found is None else {
-        r["label"]: (
-            np.array([-np.inf if c["lo"] is None else c["lo"] for c in r["cells"]]),
-            np.array([np.inf if c["hi"] is None else c["hi"] for c in r["cells"]]),
-        )
-        for r in found
-    }
+    folder = shared_folder(spark, "brackets")
+    found.write.parquet(folder)
+    return spark.read.schema(found.schema).parquet(folder)
 
 
-def _ranked_medians(rows: DataFrame, brackets: dict) -> DataFrame:
+def _ranked_medians(rows: DataFrame, bracket_rows: int) -> DataFrame:
     """Median by rank, without a task that holds a whole group.
 
-    1. A sample gives per label and position an interval around the median.
+    1. A sample gives per label and position an interval around the median. Few intervals are
+       broadcast, within Spark's own bound; many are joined, and AQE splits hot labels.
     2. One pass counts the values below it and passes on only the values inside.
     3. Equal inside values are merged, and their running count gives the middle ranks.
     A middle rank outside its interval fails the query instead of returning a wrong value.
     """
-    spark = rows.sparkSession
     kind = rows.schema["label"].dataType
     arrow_kind = to_arrow_type(kind)
-    shared = spark.sparkContext.broadcast(brackets)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        brackets = shared.value
-        seen: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            values = matrix(batch.column("v"))
-            labels = np.array(batch.column("label").to_pylist(), dtype=object)
+            values, lo, hi = (matrix(batch.column(c)) for c in ("v", "lo", "hi"))
+            coded = batch.column("label").dictionary_encode()
+            names = coded.dictionary.cast(arrow_kind)
+            code = coded.indices.to_numpy()
+            row, pos = np.nonzero((values >= lo) & (values <= hi))
+            none = np.zeros(len(pos), dtype=np.int64)
+            yield _records(names.take(pa.array(code[row])), pos, values[row, pos], none, none)
             width = values.shape[1]
-            for name in set(labels.tolist()):
-                block = values[labels == name]
-                whole = (np.full(width, -np.inf), np.full(width, np.inf))
-                lo, hi = brackets.get(name, whole)
-                below = (block < lo).sum(axis=0)
-                inside = (block >= lo) & (block <= hi)
-                state = seen.setdefault(name, [0, np.zeros(width, dtype=np.int64)])
-                state[0] += len(block)
-                state[1] += below
-                row, pos = np.nonzero(inside)
-                none = np.zeros(len(pos), dtype=np.int64)
-                yield _records(name, arrow_kind, pos, block[row, pos], none, none)
-        for name, (n, below) in seen.items():
-            width = len(below)
-            nulls = pa.nulls(width, pa.float64())
-            yield _records(name, arrow_kind, np.arange(width), nulls, below, np.full(width, n))
+            below = np.zeros((len(names), width), dtype=np.int64)
+            np.add.at(below, code, values < lo)
+            each = np.repeat(np.arange(len(names)), width)
+            yield _records(
+                names.take(pa.array(each)),
+                np.tile(np.arange(width), len(names)),
+                pa.nulls(len(each), pa.float64()),
+                below.ravel(),
+                np.bincount(code, minlength=len(names))[each],
+            )
 
     schema = f"label {kind.simpleString()}, pos int, x double, below bigint, n bigint"
-    parts = rows.mapInArrow(split, schema)
+    bounded = rows.join(_brackets(rows, bracket_rows), "label", "left").select(
+        "label",
+        "v",
+        *[
+            F.coalesce(c, F.array_repeat(F.lit(float(f"{sign}inf")), F.size("v"))).alias(c)
+            for c, sign in (("lo", "-"), ("hi", ""))
+        ],
+    )
+    parts = bounded.mapInArrow(split, schema)
     merged = parts.groupBy("label", "pos", "x").agg(
         F.count(F.lit(1)).alias("times"), F.sum("below").alias("below"), F.sum("n").alias("n")
     )
@@ -231,10 +210,10 @@ def _ranked_medians(rows: DataFrame, brackets: dict) -> DataFrame:
     return checked.select("label", "pos", value.alias("value"))
 
 
-def _records(name, kind: pa.DataType, pos, x, below, n) -> pa.RecordBatch:
+def _records(labels: pa.Array, pos, x, below, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([name] * len(pos), type=kind),
+            labels,
             pa.array(pos, type=pa.int32()),
             pa.array(x, type=pa.float64()),
             pa.array(below, type=pa.int64()),

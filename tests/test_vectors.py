@@ -48,17 +48,17 @@ def test_std_of_one_row_is_null(spark):
     assert as_dict(C.std_centroids(one)) == {1: None}
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**9])
-def test_median(vectors, frame, small_rows):
-    found = as_dict(C.median_centroids(vectors, small_rows=small_rows))
+@pytest.mark.parametrize("bracket_rows", [100, 10**9])
+def test_median(vectors, frame, bracket_rows):
+    found = as_dict(C.median_centroids(vectors, bracket_rows=bracket_rows))
     wanted = by_label(frame, lambda m: np.median(m, axis=0))
+    assert found.keys() == wanted.keys()
     for label in wanted:
         np.testing.assert_array_equal(found[label], wanted[label])
 
 
-def test_median_by_rank_with_a_hot_label(spark, monkeypatch):
+def test_median_with_a_hot_label(spark):
     """A sample places the brackets; ties, a rare label and a hot label stay exact."""
-    monkeypatch.setattr(C, "BRACKET_ROWS", 1500)
     rng = np.random.default_rng(3)
     hot = rng.normal(size=(9000, 3)).astype(np.float32)
     hot[:4000, 1] = 0.25
@@ -66,18 +66,22 @@ def test_median_by_rank_with_a_hot_label(spark, monkeypatch):
     rare = rng.normal(size=(4, 3)).astype(np.float32)
     rows = [("hot", v.tolist()) for v in hot] + [("rare", v.tolist()) for v in rare]
     df = spark.createDataFrame(rows, "label string, embedding array<float>").repartition(4)
-    found = as_dict(C.median_centroids(df, small_rows=0))
+    found = as_dict(C.median_centroids(df, bracket_rows=1500))
     np.testing.assert_array_equal(found["hot"], np.median(hot.astype(float), axis=0))
     np.testing.assert_array_equal(found["rare"], np.median(rare.astype(float), axis=0))
 
 
-def test_median_in_label_parts(vectors, frame, monkeypatch):
-    monkeypatch.setattr(C, "MAX_LABELS", 4)
-    found = as_dict(C.median_centroids(vectors, small_rows=0))
-    wanted = by_label(frame, lambda m: np.median(m, axis=0))
-    assert found.keys() == wanted.keys()
-    for label in wanted:
-        np.testing.assert_array_equal(found[label], wanted[label])
+def test_median_of_many_labels(spark):
+    """Most labels are in no sample; an empty table has no medians."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k) // 2, v.tolist()) for k, v in enumerate(rng.normal(size=(6000, 2)))]
+    df = spark.createDataFrame(rows, "label int, embedding array<double>").repartition(4)
+    found = as_dict(C.median_centroids(df, bracket_rows=500))
+    assert len(found) == 3000
+    for label in range(0, 3000, 500):
+        pair = np.array([rows[2 * label][1], rows[2 * label + 1][1]])
+        np.testing.assert_array_equal(found[label], np.median(pair, axis=0))
+    assert as_dict(C.median_centroids(df.limit(0))) == {}
 
 
 def brute_nearest(frame, centroids, k):
