@@ -8,15 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom import schemas
 from postloom.functions import fixed
 from postloom.functions.dates import platform_time
+from postloom.functions.markers import clean_markers
 from postloom.functions.normalise import normalise_post
 from postloom.operators.centroids import mean_and_std, median_centroids
 from postloom.operators.clean import clean_posts, counted, prepare_for_encoding
-from postloom.operators.joins import attach_posts
+from postloom.operators.joins import attach_posts, sentiment_scores
 from postloom.operators.reduce import project
 from postloom.operators.search import mean_precision, nearest, precision
-from postloom.sources.posts import read_raw_posts, write_days
+from postloom.sources.posts import read_labelled, read_raw_posts, write_days, write_json
 
 Encode = Callable[[DataFrame], DataFrame]
 
@@ -77,6 +79,28 @@ def narrative_vectors(narratives: DataFrame, encode: Encode, text: str = "tweet"
     return vectors.join(posts.select("tweet_id", "narrative"), "tweet_id")
 
 
+def narrative_job(spark: SparkSession, root: str, lexicon: DataFrame, target: str) -> None:
+    """Labelled files to one set of JSON lines with sentiment and cleaned text.
+
+    Reads one folder per narrative below ``root`` and writes created_at, id, tweet, sentiment,
+    narrative and processed_tweet. Every row of the files stays; each distinct text is scored
+    once with the (word, valence) ``lexicon``, and a post without text scores 0.
+    """
+    posts = read_labelled(spark, root, schemas.NARRATIVE_POST)
+    posts = posts.withColumn("_text", F.sha2("tweet", 256))
+    texts = posts.where("tweet is not null").select("_text", "tweet").dropDuplicates(["_text"])
+    scored = posts.join(sentiment_scores(texts, lexicon, "_text", "tweet"), "_text", "left")
+    out = scored.select(
+        "created_at",
+        "id",
+        "tweet",
+        F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"),
+        "narrative",
+        clean_markers(F.col("tweet")).alias("processed_tweet"),
+    )
+    write_json(out, target)
+
+
 def centroid_tables(vectors: DataFrame, root: str, label: str = "narrative") -> None:
     """Mean, deviation and median tables below ``root``; existing ones stay."""
     both = mean_and_std(vectors, label)

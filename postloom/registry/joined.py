@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from postloom.functions.words import words
 from postloom.operators import joins as J
-from postloom.session import spread
-from postloom.registry.base import query, rounded, table
-from postloom.registry.texts import word_list
+from postloom.plans import stages
+from postloom.registry.base import POST_SQL, post_text, query, rounded, table
+from postloom.registry.texts import V2, trimmed, word_list
+from postloom.session import shared_folder, spread
 
 
 @query(
@@ -82,19 +83,53 @@ s as (select doc_id, sum(coalesce(valence, 0)) as s from w left join lexicon usi
 select doc_id, round(s / sqrt(s * s + 15), 6) + 0.0 as sentiment from s"""
 
 
-@query("sentiment_lexicon", LEXICON)
-def sentiment_lexicon(spark, sf_dir):
+def _lexicon(spark, sf_dir):
     passages = table(spark, sf_dir, "benchmark")
-    lexicon = (
+    return (
         passages.select(F.explode(words(F.col("text"))).alias("w"))
         .select(F.lower("w").alias("word"))
         .distinct()
         .withColumn("valence", (F.length("word") - 5).cast("double"))
     )
-    out = J.sentiment_scores(spread(table(spark, sf_dir, "documents")), lexicon, "doc_id", "text")
+
+
+@query("sentiment_lexicon", LEXICON)
+def sentiment_lexicon(spark, sf_dir):
+    documents = spread(table(spark, sf_dir, "documents"))
+    out = J.sentiment_scores(documents, _lexicon(spark, sf_dir), "doc_id", "text")
     return out.select("doc_id", rounded("sentiment"))
 
 
+@query(
+    "narrative_job",
+    f"""with p as (select doc_id, n_chars, lang, {POST_SQL} as t from documents),
+b as (select distinct lower(unnest({word_list('text')})) as word from benchmark),
+lexicon as (select word, (length(word) - 5)::double as valence from b),
+w as (select doc_id, lower(unnest({word_list('t')})) as word from p),
+s as (select doc_id, sum(coalesce(valence, 0)) as s from w left join lexicon using (word) group by 1)
+select cast(n_chars as varchar) as created_at, cast(doc_id as varchar) as id, t as tweet,
+       round(coalesce(s / sqrt(s * s + 15), 0), 6) + 0.0 as sentiment, 'lang=' || lang as narrative,
+       {trimmed(V2)} as processed_tweet
+from p left join s using (doc_id)""",
+)
+def narrative_job(spark, sf_dir):
+    """One folder per narrative to scored and cleaned JSON lines, read back."""
+    root, target = shared_folder(spark, "narratives"), shared_folder(spark, "scored")
+    posts = spread(table(spark, sf_dir, "documents")).select(
+        F.col("n_chars").cast("string").alias("created_at"),
+        F.col("doc_id").cast("string").alias("id"),
+        post_text().alias("tweet"),
+        "lang",
+    )
+    posts.write.partitionBy("lang").json(root)
+    stages.narrative_job(spark, root, _lexicon(spark, sf_dir), target)
+    back = spark.read.schema(
+        "created_at string, id string, tweet string, sentiment double, narrative string,"
+        " processed_tweet string"
+    ).json(target)
+    return back.withColumn("sentiment", rounded("sentiment"))
+
+
 @query(
     "listed_word_drop",
     f"""with stop as (select distinct unnest({word_list('text')}) as word from benchmark),

@@ -7,6 +7,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom import schemas
 from postloom.operators import clean as K
@@ -248,3 +249,28 @@ def test_late_rows(spark, tmp_path):
     S.append_stream(counts, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     rows = spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()
     assert [r["n"] for r in rows] == [2]
+
+
+def test_lines_that_do_not_parse_are_kept_whole(spark):
+    lines = ['{"a": 1, "b": "x"}', '{"a": 2', "", None, '{"b": null}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    good, bad = S.split_malformed(S.parse_lines(df, kind))
+    assert {tuple(r) for r in good.collect()} == {(1, "x"), (None, None)}
+    assert sorted(r[0] for r in bad.collect()) == ["", "", '{"a": 2']
+
+
+def test_narrative_job_keeps_repeated_and_empty_posts(spark, tmp_path):
+    rows = [("n1", "1", "good day"), ("n2", "1", "good day"), ("n2", "2", None), ("n2", "1", "bad")]
+    df = spark.createDataFrame(rows, "label string, id string, tweet string")
+    df.write.partitionBy("label").json(str(tmp_path / "in"))
+    lexicon = spark.createDataFrame([("good", 1.0), ("bad", -1.0)], "word string, valence double")
+    stages.narrative_job(spark, str(tmp_path / "in"), lexicon, str(tmp_path / "out"))
+    found = spark.read.json(str(tmp_path / "out")).collect()
+    score = {(r["narrative"], r["id"], r["tweet"]): r["sentiment"] for r in found}
+    assert score == {
+        ("label=n1", "1", "good day"): 0.25,
+        ("label=n2", "1", "good day"): 0.25,
+        ("label=n2", "2", None): 0.0,
+        ("label=n2", "1", "bad"): -0.25,
+    }

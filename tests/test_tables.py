@@ -233,3 +233,14 @@ def test_null_text_is_no_retweet(spark):
 def test_no_partitionless_window_over_values(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet")
     assert "Window" not in plan_of(P.value_shares(rows, "lang"))
+
+
+def test_dense_series_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(TS, "RUN_BUCKETS", 7)
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(
+            [(dt.datetime(2024, 3, 1, 10),), (dt.datetime(2024, 3, 3, 4, 20),)], f"ts {kind}"
+        )
+        rows = TS.dense_counts(df, "ts", "1 hour").orderBy("bucket").collect()
+        assert [r["n"] for r in rows] == [1] + [0] * 41 + [1]
+        assert TS.dense_counts(df.limit(0), "ts", "1 hour").collect() == []
