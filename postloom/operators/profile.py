@@ -45,12 +45,17 @@ def value_shares(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact distinct values per column, NULL counted as one.
 
-    One shuffle of (column, value) pairs; equal pairs are merged before it.
+    One shuffle of (column, value) pairs; equal pairs are merged before it, and values of more
+    than 64 bytes are compared by SHA-256 digest, which is one character longer than any value.
     """
     names = list(columns or df.columns)
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names]
-    )
+
+    def short(name: str) -> Column:
+        value = F.col(name).cast("string")
+        digest = F.concat(F.lit("#"), F.sha2(value, 256))
+        return F.when(F.octet_length(value) > 64, digest).otherwise(value).alias("value")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), short(c)) for c in names])
     return (
         df.select(F.inline(pairs))
         .distinct()
@@ -60,8 +65,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row with a column for each, NULL counted as one value as in the exact form."""
     names = list(columns or df.columns)
-    return df.agg(*[F.approx_count_distinct(c).alias(c) for c in names])
+    null = [F.coalesce(F.max(F.when(F.col(c).isNull(), 1)), F.lit(0)) for c in names]
+    return df.agg(*[(F.approx_count_distinct(c) + n).alias(c) for c, n in zip(names, null)])
 
 
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:

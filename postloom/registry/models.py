@@ -8,6 +8,7 @@ from postloom.operators import encode as V
 from postloom.operators import reduce as R
 from postloom.plans import stages
 from postloom.registry.base import query, rounded, table
+from postloom.registry.texts import word_list
 from postloom.session import shared_folder, spread
 
 
@@ -49,6 +50,35 @@ def svd_from_sample(spark, sf_dir):
     return R.project(vectors, model).select("tweet_id", rounded("x"), rounded("y"))
 
 
+@query(
+    "svd_check",
+    """select component::integer as component, count(embedding) as n, true as same_energy,
+       true as unit_length, true as orthogonal
+from embeddings, (values (0), (1)) c(component) group by component""",
+)
+def svd_check(spark, sf_dir):
+    """Per component: squares of all coordinates sum to the squared singular value, weights have
+    unit length, and the coordinates of the two components are orthogonal."""
+    model = _model(spark, sf_dir)
+    points = R.project(_vectors(spark, sf_dir), model)
+    energy = [F.sum(F.col(c) * F.col(c)) for c in ("x", "y")]
+    sums = points.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("x") * F.col("y")).alias("mixed"),
+        energy[0].alias("first"),
+        F.array(*energy).alias("energy"),
+    ).select("n", "mixed", "first", F.posexplode("energy").alias("component", "energy"))
+    squared = F.col("singular_value") * F.col("singular_value")
+    length = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w * w)
+    return model.join(sums, "component").select(
+        "component",
+        "n",
+        (F.abs(F.col("energy") / squared - 1) < 1e-9).alias("same_energy"),
+        (F.abs(length - 1) < 1e-9).alias("unit_length"),
+        (F.abs(F.col("mixed")) < 1e-9 * F.col("first")).alias("orthogonal"),
+    )
+
+
 @query(
     "fixed_project",
     """select vec_id as tweet_id, label, round(list_sum(embedding::double[]), 6) + 0.0 as x,
@@ -110,6 +140,16 @@ def encode_hashing(spark, sf_dir):
     return V.encode_hashing(rows, "text").drop("text")
 
 
+@query(
+    "encode_totals",
+    f"select doc_id, len({word_list('text')})::bigint as tokens from documents where text is not null",
+)
+def encode_totals(spark, sf_dir):
+    """The term counts of each hashed vector add up to the words of its text."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return encode_hashing(spark, sf_dir).select("doc_id", total.cast("long").alias("tokens"))
+
+
 @query("encode_weighted")
 def encode_weighted(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")

@@ -75,6 +75,22 @@ def distinct_per_column_approx(spark, sf_dir):
     return P.approx_distinct_counts(table(spark, sf_dir, "lineitem"))
 
 
+@query(
+    "distinct_approx_error",
+    " union all ".join(f"select '{c}' as column, true as within" for c in LINE_COLUMNS),
+)
+def distinct_approx_error(spark, sf_dir):
+    """Whether each approximate count is within 15 % of the exact one, three of its deviations."""
+    lines = table(spark, sf_dir, "lineitem")
+    about = P.approx_distinct_counts(lines, LINE_COLUMNS)
+    named = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("about")) for c in LINE_COLUMNS]
+    )
+    both = P.distinct_counts(lines, LINE_COLUMNS).join(about.select(F.inline(named)), "column")
+    off = F.abs(F.col("about") - F.col("distinct_values"))
+    return both.select("column", (off <= 0.15 * F.col("distinct_values")).alias("within"))
+
+
 @query("distinct_values", "select distinct label from embeddings")
 def distinct_values(spark, sf_dir):
     return P.distinct_values(table(spark, sf_dir, "embeddings"), "label")

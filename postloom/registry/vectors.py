@@ -52,6 +52,26 @@ def centroid_median_approx(spark, sf_dir):
     return _cells(C.approx_median_centroids(table(spark, sf_dir, "embeddings")))
 
 
+@query(
+    "centroid_median_approx_rank",
+    f"""with e as ({CELLS})
+select label, cast(pos as integer) as pos, count(*) as n, true as near_middle from e group by label, pos""",
+)
+def centroid_median_approx_rank(spark, sf_dir):
+    """Whether the rank of each approximate median is within its error of the middle."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = C.as_cells(C.approx_median_centroids(rows, accuracy=1000))
+    cells = rows.select("label", F.posexplode("embedding").alias("pos", "x"))
+    below = F.count_if(F.col("x") < F.col("value")) / F.count("x")
+    upto = F.count_if(F.col("x") <= F.col("value")) / F.count("x")
+    near = (below <= 0.5 + 1e-3) & (upto >= 0.5 - 1e-3)
+    return (
+        cells.join(found, ["label", "pos"])
+        .groupBy("label", "pos")
+        .agg(F.count("x").alias("n"), near.alias("near_middle"))
+    )
+
+
 RANKED = f"""
 with e as ({CELLS}),
 m as (select label, pos, avg(v::double) as v from e group by all),

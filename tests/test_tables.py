@@ -244,3 +244,11 @@ def test_dense_series_in_runs(spark, monkeypatch):
         rows = TS.dense_counts(df, "ts", "1 hour").orderBy("bucket").collect()
         assert [r["n"] for r in rows] == [1] + [0] * 41 + [1]
         assert TS.dense_counts(df.limit(0), "ts", "1 hour").collect() == []
+
+
+def test_distinct_counts_of_long_and_null_values(spark):
+    long = "x" * 100
+    rows = [(long,), (long,), (long + "y",), (None,), ("a",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert P.distinct_counts(df).first()["distinct_values"] == 5
+    assert P.approx_distinct_counts(df).first()["t"] == 5
