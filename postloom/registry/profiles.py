@@ -55,7 +55,10 @@ def value_counts_without_null(spark, sf_dir):
     return P.value_counts(rows, "quality")
 
 
-LINE_COLUMNS = ["l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_suppkey"]
+LINE_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
+    "l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
 
 
 @query(
