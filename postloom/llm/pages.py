@@ -3,7 +3,8 @@
 For every node of a page: characters per tag, adjusted by links. The sum over a node's children
 picks the node that holds the text; the smallest density on the way from it to the body is the
 threshold that other parts must reach. Parts that say by tag, role, class or id that they are
-menus, notices, adverts, forms or comments are left out before.
+menus, notices, adverts, forms or comments are left out before, unless they wrap an article or
+most of the text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from postloom.llm.words import slices
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set(
-    "script style noscript template head nav footer aside form button select textarea iframe "
+    "script style noscript template head nav footer aside button select textarea iframe "
     "object svg canvas audio video dialog menu datalist".split()
 )
 INLINE = set(
@@ -34,7 +35,12 @@ MARKS = set(
     "signup share sharing social related recommended comment comments commentlist disqus "
     "respond replies discussion widget toolbar pagination pager skip".split()
 )
-ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+# Marks of parts that are texts of their own; much text does not make them the page's text.
+WORDY = set(
+    "comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr "
+    "popup modal newsletter".split()
+)
+ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 LISTS = {"ul", "ol", "dl", "table"}
 MAIN = {"article", "main"}
 # Start tags that end an open element of the second kind, up to the nearest of the third.
@@ -112,31 +118,116 @@ class _Tree(HTMLParser):
         self.flow.append((self.open[-1], data))
 
 
-def _marked(attrs) -> bool:
+def _shut(attrs) -> bool:
+    """Whether a node is hidden, or no main text by its role."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and value:
-            if any(t.lower() in MARKS for t in TOKEN.findall(value)):
-                return True
     return False
 
 
+def _mark(tag: str, attrs) -> int:
+    """1 for a form or a name in MARKS, 2 for one in WORDY, else 0."""
+    found = int(tag == "form")
+    for name, value in attrs:
+        if name == "role" and value and value.strip().lower() == "form":
+            found = max(found, 1)
+        if name in ("class", "id") and value:
+            words = {t.lower() for t in TOKEN.findall(value)}
+            found = max(found, 2 if words & WORDY else 1 if words & MARKS else 0)
+    return found
+
+
+def _sizes(tree: _Tree, out: list[bool]) -> list[int]:
+    """Characters outside links in each node's subtree."""
+    n = len(tree.tags)
+    sizes, in_link = [0] * n, [False] * n
+    for k in range(1, n):
+        in_link[k] = in_link[tree.parents[k]] or tree.tags[k] == "a"
+    for node, text in tree.flow:
+        if text and not out[node] and not in_link[node]:
+            sizes[node] += len(" ".join(text.split()))
+    for k in range(n - 1, 0, -1):
+        sizes[tree.parents[k]] += sizes[k]
+    return sizes
+
+
 def _left_out(tree: _Tree) -> list[bool]:
-    out, inner = [False], [False]  # inner: within an article or main
-    for k in range(1, len(tree.tags)):
+    n = len(tree.tags)
+    hard, inner, marks = [False], [False], [0]  # inner: within an article or main
+    for k in range(1, n):
         tag, parent = tree.tags[k], tree.parents[k]
         inner.append(inner[parent] or tag in MAIN)
         plain = tag in ("html", "body") or tag in MAIN
-        out.append(
-            out[parent]
+        hard.append(
+            hard[parent]
             or tag in DROPPED
             or (tag == "header" and not inner[k])
-            or (not plain and _marked(tree.attrs[k]))
+            or (not plain and _shut(tree.attrs[k]))
         )
-    return out
+        marks.append(0 if plain else _mark(tag, tree.attrs[k]))
+    if not any(marks):
+        return hard
+    return _without_marked(tree, hard, marks)
+
+
+def _without_marked(tree: _Tree, hard: list[bool], marks: list[int]) -> list[bool]:
+    """``hard`` and the marked nodes, but for those that wrap main text.
+
+    A marked node stays if it holds a main, or an article of at least a fifth of the longest
+    one; or, where no comments or notices, several blocks with over half of the text of the
+    article or main around it (of the page, if that has neither). Where marks would still take nine tenths of that
+    text they name something else and count for nothing.
+    """
+    n = len(tree.tags)
+    sizes = _sizes(tree, hard)
+    wordy = [0] * n  # outermost node with a wordy mark around each node
+    for k in range(1, n):
+        wordy[k] = wordy[tree.parents[k]] or (k if marks[k] == 2 else 0)
+    mains = [k for k in range(n) if tree.tags[k] in MAIN and sizes[k]]
+    real = [k for k in mains if not wordy[k]] or [
+        k for k in mains if _mark("", tree.attrs[k]) < 2 and 2 * sizes[wordy[k]] > sizes[0]
+    ]
+    longest = max((sizes[k] for k in real if tree.tags[k] == "article"), default=0)
+    real = [k for k in real if tree.tags[k] == "main" or 5 * sizes[k] >= longest]
+    holds, around = [False] * n, [0] * n
+    for k in real:
+        around[k] = k
+        while k and not holds[k]:
+            holds[k] = True
+            k = tree.parents[k]
+    for k in range(1, n):
+        around[k] = around[k] or around[tree.parents[k]]
+    inside = [around[k] > 0 or not real for k in range(n)]
+    blocks = [0] * n  # with text, in each node's subtree
+    for k in range(n - 1, 0, -1):
+        blocks[tree.parents[k]] += blocks[k] + (sizes[k] > 0 and tree.tags[k] not in INLINE)
+    kept = [
+        holds[k]
+        or marks[k] == 1 and inside[k] and blocks[k] > 1 and 2 * sizes[k] > sizes[around[k]]
+        for k in range(n)
+    ]
+
+    def drop(*trusted: int) -> tuple[list[bool], int]:
+        """Nodes left out, and the size of the text that stays."""
+        out, stays = [False], sum(sizes[k] for k in real if not around[tree.parents[k]])
+        stays = stays if real else sizes[0]
+        for k in range(1, n):
+            up = out[tree.parents[k]]
+            gone = marks[k] > 0 and not kept[k] and (marks[k] in trusted or not inside[k])
+            out.append(up or hard[k] or gone)
+            if gone and not up and inside[k]:
+                stays -= sizes[k]
+        return out, stays
+
+    (out, stays), (fewer, more) = drop(1, 2), drop(2)
+    if 10 * stays < more:
+        out, stays = fewer, more
+    if not stays:
+        out, stays = drop(1)
+    return out if stays else hard
 
 
 def densities(

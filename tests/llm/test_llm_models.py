@@ -155,6 +155,43 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+SIDE = "<div class=sidebar><p>Latest posts of this site, and some words on each of them.</div>"
+LONG = BODY * 4
+LONG_TEXT = " ".join([TEXT] * 4)
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<div class='with-sidebar'>%s</div>", "<div id=page class='no-sidebar'>%s</div>", "<div class=social>%s</div>",
+        "<form action=x><input type=hidden value=y>%s</form>", "<form><div id=widget-area class='share'>%s</div></form>",
+        "<div class='comments-open'>%s</div>",
+    ],
+)
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+def test_marked_wrappers(wrapper, inner):
+    """A name or form around the whole page takes nothing; the parts in it that are marked go."""
+    assert main_text(WRAP % (wrapper % (inner % LONG))) == LONG_TEXT
+    assert main_text(WRAP % (wrapper % (inner % LONG + SIDE))) == LONG_TEXT
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article>{BODY}</article><div id=comments><article>{LONG}</article></div>", TEXT),
+        (f"<article>{BODY}<section id=comments>{LONG}</section></article>", TEXT),
+        (f"<article>{BODY}</article><div class=sidebar>{LONG}</div>", TEXT),
+        (f"<div>{BODY}</div><div class='cookie-consent'>{LONG}</div>", TEXT),
+        (f"<main><article>{LONG}</article><div class=related><article><p>Next one.</article></div></main>", LONG_TEXT),
+        (f"<main><div class='x-widget'>{BODY}</div><div class='x-widget'>{BODY}</div></main>", f"{TEXT} {TEXT}"),
+        (f"<article>{BODY}</article><form>{LONG}</form>", TEXT),
+        (f"<div class=ad>{'Buy this now. ' * 20}</div><div>{BODY}</div>", TEXT),
+    ],
+)
+def test_marked_parts(html, text):
+    assert main_text(WRAP % html) == text
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "z"), (1, "u", "", "z"), (None, None, "<p>x " + "y " * 50_000, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
