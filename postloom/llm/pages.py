@@ -42,6 +42,7 @@ WORDY = set(
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 LISTS = {"ul", "ol", "dl", "table"}
+BOXES = {"div", "section", "article"}
 MAIN = {"article", "main"}
 # Start tags that end an open element of the second kind, up to the nearest of the third.
 P_ENDERS = set(
@@ -267,6 +268,58 @@ def densities(
     return density, sums, [a / max(b, 1) for a, b in zip(link_chars, chars)]
 
 
+def _other_articles(tree, out, density, linked, threshold, first) -> list[int]:
+    """Outermost articles and mains besides ``first`` that belong to the text: with any block
+    that reaches the threshold, or beside ``first`` and at least a fifth as long. Teasers, with
+    over a third in links, do not.
+    """
+    n = len(tree.tags)
+    sizes, peak, inner = _sizes(tree, out), list(density), [False] * n
+    for k in range(n - 1, 0, -1):
+        if tree.tags[k] not in INLINE:
+            peak[tree.parents[k]] = max(peak[tree.parents[k]], peak[k])
+    found = []
+    for k in range(1, n):
+        p = tree.parents[k]
+        inner[k] = inner[p] or tree.tags[p] in MAIN
+        if tree.tags[k] in MAIN and not inner[k] and not out[k] and k != first and linked[k] <= 1 / 3:
+            beside = p == tree.parents[first] and 5 * sizes[k] >= sizes[first]
+            if sizes[k] and (peak[k] >= threshold or beside):
+                found.append(k)
+    return found
+
+
+def _without_links(tree, out, chosen, density, linked, threshold, path) -> list[bool]:
+    """``out`` and, within the chosen nodes, lists of links and the boxes below the threshold
+    that hold links (at least two, hardly any other text) or teasers (a third in links, with a
+    block that is one, as a title). Nothing more is left out where under a fifth of the text
+    would stay: there the links are the page's text. Nodes of ``path`` stay.
+    """
+    n = len(tree.tags)
+    sizes, links, titles = _sizes(tree, out), [0] * n, [False] * n
+    for k in range(n - 1, 0, -1):
+        p = tree.parents[k]
+        links[p] += links[k] + (tree.tags[k] == "a" and not out[k])
+        titles[p] = titles[p] or titles[k] or (tree.tags[k] not in INLINE and linked[k] > 0.8)
+    inside, more, total, stays = list(chosen), list(out), 0, 0
+    for k in range(1, n):
+        p, tag, share = tree.parents[k], tree.tags[k], linked[k]
+        inside[k] = inside[k] or inside[p]
+        if chosen[k]:
+            total += sizes[k]
+            stays += sizes[k]
+        if not inside[k] or k in path or more[p]:
+            more[k] = more[k] or more[p]
+            continue
+        box = tag in BOXES and density[k] < threshold
+        if tag in LISTS and share > 0.8 or box and (
+            share > 0.8 and links[k] > 1 or share > 1 / 3 and titles[k]
+        ):
+            stays -= 0 if more[k] else sizes[k]
+            more[k] = True
+    return more if 5 * stays >= total and stays else out
+
+
 def _content(tree: _Tree, out: list[bool]) -> list[bool]:
     """Whether each node belongs to the main text."""
     n = len(tree.tags)
@@ -277,11 +330,16 @@ def _content(tree: _Tree, out: list[bool]) -> list[bool]:
     path = [best]
     while path[-1] not in (body, 0):
         path.append(tree.parents[path[-1]])
+    threshold = min(density[k] for k in path)
     main = [k for k in path if tree.tags[k] in MAIN]
     if main:
-        chosen[main[-1]] = True  # the outermost one
+        whole = [main[-1]]  # the outermost one
+        if tree.tags[main[-1]] == "article":
+            whole += _other_articles(tree, out, density, linked, threshold, main[-1])
+        for k in whole:
+            chosen[k] = True
+        out = _without_links(tree, out, chosen, density, linked, threshold, set(path))
     else:
-        threshold = min(density[k] for k in path)
         top = list(range(n))  # node with the largest sum in each node's subtree
         for k in range(n - 1, 0, -1):
             p = tree.parents[k]

@@ -1,10 +1,12 @@
 """Classifiers, pages, vectors and the pipeline."""
 
 import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -192,6 +194,60 @@ def test_marked_parts(html, text):
     assert main_text(WRAP % html) == text
 
 
+LINKS = "<a href=1>One page</a> | <a href=2>Another page</a> | <a href=3>Third page</a>"
+TEASER = "<h3><a href=4>What to read after this story</a></h3><p>Some words of it."
+PART = "<p>" + "One more sentence of the same long story, with a few words in it. " * 6
+PART_TEXT = " ".join(("One more sentence of the same long story, with a few words in it. " * 6).split())
+
+
+def as_div(html):
+    return re.sub("(</?)(article|main)", r"\1div", html)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<main><div>%s</div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></main>",
+        f"<main><div>%s</div><div>{LINKS}</div></main>",
+        f"<article><div>{LINKS}</div><div>%s</div><div>{TEASER}</div></article>",
+        f"<main><article>%s</article><article>{TEASER}</article><section>{LINKS}</section></main>",
+        f"<article>%s</article><article>{TEASER}</article><div>{LINKS}</div>",
+    ],
+)
+def test_links_in_main(html):
+    """Menus, link boxes and teasers go, with article and main as with div."""
+    page = WRAP % (html % (PART * 3))
+    expected = " ".join([PART_TEXT] * 3)
+    assert main_text(page) == expected
+    assert main_text(as_div(page)) == expected
+
+
+def test_sibling_articles():
+    page = WRAP % f"<div>{LINKS}</div><article>{PART * 3}</article><article>{PART * 2}</article>"
+    assert main_text(page) == main_text(as_div(page)) == " ".join([PART_TEXT] * 5)
+    short = WRAP % f"<article>{PART * 3}</article><article>{PART}</article>"
+    assert main_text(short) == " ".join([PART_TEXT] * 4)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><header><h1>Head</h1></header><p>Short one.<div>{PART * 3}</div><p>By me.</article>", f"Head Short one. {' '.join([PART_TEXT] * 3)} By me."),
+        (f"<main>{f'<div>{TEASER}</div>' * 3}</main>", " ".join(["What to read after this story Some words of it."] * 3)),
+        (f"<article>{PART}<div>See <a href=1>this long text of the link</a>.</div></article>", f"{PART_TEXT} See this long text of the link."),
+    ],
+)
+def test_main_stays_whole(html, text):
+    """Heads, short paragraphs and pages of links are no menus."""
+    assert main_text(WRAP % html) == text
+
+
+def test_renamed_articles():
+    """The density selection alone finds the same text of pages without article tags."""
+    pages = pq.read_table(f"{SMALL}/pages.parquet")["html"].to_pylist()
+    assert [main_text(as_div(x)) for x in pages] == [main_text(x) for x in pages]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "z"), (1, "u", "", "z"), (None, None, "<p>x " + "y " * 50_000, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
