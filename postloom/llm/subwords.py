@@ -46,6 +46,11 @@ SAME, OTHER = 1 << BUCKET_BITS, (1 << BUCKET_BITS) + 1
 FEATURES = (1 << BUCKET_BITS) + 2
 # Neutral features (vector zero) in every text's mean, so a few words prove little.
 NEUTRAL = 300
+# Texts of the sample that a feature must be in to count, however large the sample.
+LEAST = 3
+# Added to the past squared gradients of a vector: those of rare features, whose gradients
+# stay small, move little. Chosen on a fold of the rows to learn from.
+SLACK = 1e-7
 
 
 def bags(texts: pa.Array, lower: bool, pairs: bool) -> Bags:
@@ -163,22 +168,24 @@ def learn(
     batch: int = 32,
     rate: float = 0.6,
     seed: int = 7,
+    least: int = LEAST,
 ) -> Model:
     """Learns vectors and softmax from bags; ``share`` is class 1's share of all labels.
 
     Classes count alike while learning; the bias then moves by the log odds of ``share``, so
     scores are probabilities for all labelled texts whatever the sample's mix. With labels of
-    one class only, every text scores ``share``. Features in fewer than one text of a hundred
-    (three at least) have the vector zero, as have those never seen.
+    one class only, every text scores ``share``. Vectors start at zero and grow with their
+    gradients; features in fewer than ``least`` texts stay there, as do those never seen.
     """
     found_in = np.zeros(FEATURES, np.int64)
     for features, _ in texts:
         found_in[features] += 1
-    common = found_in >= max(3, len(texts) // 100)
+    common = found_in >= least
     texts = [(f[common[f]], n[common[f]]) for f, n in texts]
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1, 1, (FEATURES, width)).astype(np.float32) / width
+    vectors = np.zeros((FEATURES, width), np.float32)
     softmax = np.zeros((width + 1, 2))
+    softmax[:-1] = [-0.5, 0.5]
     share = min(max(share, 1e-6), 1 - 1e-6)
     ones = int(labels.sum())
     if 0 < ones < len(labels):
@@ -204,7 +211,6 @@ def learn(
                 softmax -= step * slope / np.sqrt(past_s)
                 grad = np.add.reduceat(back[b.doc] * b.weight_sorted, b.firsts, axis=0)
                 past_v[b.seen] += (grad**2).mean(axis=1)
-                vectors[b.seen] -= np.float32(step) * grad / np.sqrt(past_v[b.seen] + 1e-12)[:, None]
-    vectors[~common] = 0
+                vectors[b.seen] -= np.float32(step) * grad / np.sqrt(past_v[b.seen] + SLACK)[:, None]
     softmax[-1, 1] += np.log(share / (1 - share))
     return Model(vectors, softmax)

@@ -74,6 +74,24 @@ def test_misspellings_share_grams():
     assert low < 0.5 < high
 
 
+def test_rare_words_count():
+    """A word in 8 texts of 1,200 counts, though those are under 1%."""
+    draw = np.random.default_rng(6)
+    plain = ["house", "river", "morning", "table", "garden", "letter", "window", "summer"]
+    texts, labels = [], []
+    for k in range(1200):
+        w = draw.choice(plain, 30).tolist()
+        if k % 4 == 0:
+            w[3:6] = ["zyqqk"] * 3 if k % 160 == 0 else ["idiot"] * 3
+        texts.append(" ".join(w))
+        labels.append(int(k % 4 == 0))
+    bags = subwords.text_bags(subwords.bags(pa.array(texts), True, False))
+    model = subwords.learn(bags, np.array(labels), 0.25, steps=400)
+    new = [" ".join(plain * 4), " ".join(plain * 4 + ["zyqqk"] * 3)]
+    low, high = subwords.scores(subwords.bags(pa.array(new), True, False), model.weights())
+    assert high > low + 0.1
+
+
 @pytest.mark.parametrize(
     "query, folds, held, label, least",
     [("op3_quality", 5, 0, "quality", 0.9), ("op10_toxicity", 3, 1, "toxic", 0.83)],
