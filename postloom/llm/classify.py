@@ -1,7 +1,7 @@
 """Sampling, learning and scoring shared by the two classifiers on documents.
 
 Learning takes bags of at most ``per_class`` texts for each class, drawn by a hash of doc_id
-among the rows to learn from, to one task; the driver gets its weights. Everything else, the
+among the rows to learn from, to one task; of several texts of a doc_id, one by its hash; the driver gets its weights. Everything else, the
 shares of the classes and the scores, covers all rows.
 """
 
@@ -54,6 +54,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs)).join(
         F.broadcast(sample), "doc_id"
     )
+    # one text per doc_id, however often it repeats; each task passes on one at most
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    rows = rows.groupBy("doc_id", "_label").agg(first)
 
     def bag(batches):
         for batch in batches:

@@ -138,6 +138,17 @@ def test_sample_is_bounded(spark):
     assert scored.count() == 60
 
 
+def test_repeated_ids_learn_once(spark):
+    """A doc_id in most rows does not sway the model, whichever of its rows comes first."""
+    data = [(k, f"{'good' if k % 2 else 'poor'} words {k}") for k in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    small = Settings("quality", False, True, steps=20)
+    often = docs.union(docs.filter("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    expected = fit(docs, labels, F.lit(True), small)
+    assert (fit(often.repartition(3), labels, F.lit(True), small) == expected).all()
+
+
 # ---- pages --------------------------------------------------------------------------------------------
 
 
