@@ -149,6 +149,27 @@ def test_repeated_ids_learn_once(spark):
     assert (fit(often.repartition(3), labels, F.lit(True), small) == expected).all()
 
 
+def test_toxic_held_out_by_length(spark):
+    """Recall and precision of toxic texts on the larger held-out fold, where 69 of 144
+    toxic texts hold none of the ten plain insults."""
+    large = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{large}/documents.parquet").join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id")
+    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
+    known = docs.filter("toxic is not null").select("doc_id", "toxic", words.alias("n"))
+    found = queries.QUERIES["op10_toxicity"](spark, large).filter("held_out").join(known, "doc_id").collect()
+    figures = {}
+    for name, low, high in (("short", 0, 100), ("middle", 100, 1000), ("long", 1000, 10**9), ("all", 0, 10**9)):
+        rows = [r for r in found if low <= r["n"] < high]
+        figures[name] = tuple(
+            sum(map(test, rows))
+            for test in (lambda r: r["toxic"], lambda r: r["predicted"], lambda r: r["toxic"] * r["predicted"])
+        )
+    print(figures)  # toxic, called toxic, both
+    for name, recall, precision in (("short", 0.6, 0.8), ("middle", 0.45, 0.85), ("long", 0.2, 0.6), ("all", 0.45, 0.85)):
+        toxic, called, both = figures[name]
+        assert both >= recall * toxic and both >= precision * called, figures
+
+
 # ---- pages --------------------------------------------------------------------------------------------
 
 
