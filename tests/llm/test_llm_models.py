@@ -359,6 +359,14 @@ def test_links(spark, monkeypatch, chunk):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+def test_op7(spark, data):
+    """All embeddings of sf0.001 against comparing every two rows."""
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    found = queries.op7_vector_dedup(spark, data).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == plain_links(rows)
+    assert len(found) == len(rows)
+
+
 def test_links_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     df = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], schema)
