@@ -11,11 +11,14 @@ from postloom.llm import quality, toxicity
 from postloom.llm.blob_ledger import digest, scan_documents
 from postloom.llm.classify import remainder
 from postloom.llm.decontaminate import contaminated
+from postloom.llm.imatch import document_fingerprints
 from postloom.llm.packing import pack_documents
 from postloom.llm.pages import extract_pages
 from postloom.llm.repeats import remove_repeats
 from postloom.llm.simhash import hexadecimal, simhash_components
 from postloom.llm.token_files import token_file_round_trip
+from postloom.llm.turns import repair_conversations
+from postloom.llm.variants import spelling_variants
 from postloom.llm.vector_links import link_vectors
 from postloom.session import use_utc
 
@@ -92,6 +95,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, "toxic_score", toxicity)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def _judged(scored: DataFrame, score: str, kind) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -112,5 +127,8 @@ QUERIES: dict[str, Query] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {}
