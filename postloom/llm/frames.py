@@ -133,9 +133,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
+    """Number and digest of the edges; exclusive or, since sums of 64-bit ids overflow."""
     row = edges.agg(
-        F.count(F.lit(1)),
-        F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF))),
-        F.sum("v"),
+        F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))
     ).first()
     return tuple(row)

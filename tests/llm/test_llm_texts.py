@@ -107,6 +107,22 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_of_ids_at_both_ends(spark):
+    low, high = -(2**63), 2**63 - 1
+    chain = [(high - k, high - k - 1) for k in range(6)] + [(low, low + 1), (low + 2, low + 1)]
+    df = spark.createDataFrame(chain, "u long, v long")
+    got = {r["node"]: r["root"] for r in components(df).collect()}
+    assert got == {high - k: high - 6 for k in range(7)} | {low + k: low for k in range(3)}
+
+
+@pytest.mark.parametrize("start", [2**63 - 7, -(2**63)])
+def test_simhash_of_large_ids(spark, start):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    df = rows(spark, [(start + k, text + " " * k) for k in range(6)])
+    found = simhash.simhash_components(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {start + k: start for k in range(6)}
+
+
 # ---- tokens, packing, files ------------------------------------------------------------------------
 
 
