@@ -47,6 +47,8 @@ def _keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    # by the largest component first: squares of very large or small ones leave the doubles
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

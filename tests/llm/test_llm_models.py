@@ -373,6 +373,16 @@ def test_links_odd_rows(spark):
     got = sorted((r["vec_id"] or 0, r["n_links"], r["kept"]) for r in link_vectors(df).collect())
     assert got == [(0, 0, False), (3, 1, True), (3, 1, True)]
     assert link_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("start", [2**63 - 9, -(2**63)])
+def test_vectors_of_any_size_with_any_id(spark, start):
+    vectors = [[1.0, 0.0], [1e200, 0.0], [2e200, 1e190], [1e-200, 0.0], [5e-324, 0.0], [1.7e308, 1e300], [0.0, 1e-300], [0.0, 3e300]]
+    df = spark.createDataFrame(
+        [(start + k, 1, v) for k, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>"
+    )
+    got = {r["vec_id"] - start: (r["n_links"], r["component_id"] - start) for r in link_vectors(df).collect()}
+    assert got == {k: (5, 0) for k in range(6)} | {k: (1, 6) for k in (6, 7)}
     assert table_plan(10**9)[0] > table_plan(1000)[0]
 
 
