@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.topics import matched_topics
 from postloom.functions.words import words
 from postloom.operators.clean import latest_per_key
 from postloom.operators.sampling import exact_sample
 
-# Topics matched by one expression, and patterns that one plan carries as literals.
-TOPICS_PER_ARRAY = 200
-PATTERNS_PER_SCAN = 20_000
-
 
 def missing_days(wanted: DataFrame, done: DataFrame, day: str = "day") -> DataFrame:
     return wanted.select(day).distinct().join(done.select(day).distinct(), day, "left_anti")
@@ -67,29 +62,3 @@ def sentiment_scores(
 def drop_listed_words(tokens: DataFrame, stop_words: DataFrame, word: str = "word") -> DataFrame:
     """Exploded words without those of a (long) list, broadcast or not by its bytes."""
     return tokens.join(stop_words.select(word).distinct(), word, "left_anti")
-
-
-def tag_topics(
-    df: DataFrame, text: str, catalogue: DataFrame, per_scan: int = PATTERNS_PER_SCAN
-) -> DataFrame:
-    """One row per post and matching topic of a (topic, pattern) table.
-
-    The patterns become literals of one projection, compiled once per task; no pair of
-    post and pattern is ever built. ``per_scan`` patterns go into one scan of the posts,
-    and a longer catalogue takes several.
-    """
-    listed = catalogue.select("topic", "pattern").distinct().orderBy("topic", "pattern")
-    rows = [(r["topic"], r["pattern"]) for r in listed.toLocalIterator()]
-    if len({topic for topic, _ in rows}) < len(rows):
-        raise ValueError("a topic has several patterns; join them with |")
-    out = None
-    for start in range(0, max(len(rows), 1), per_scan):
-        part = rows[start : start + per_scan]
-        hits = [
-            matched_topics(F.col(text), dict(part[i : i + TOPICS_PER_ARRAY]))
-            for i in range(0, len(part), TOPICS_PER_ARRAY)
-        ]
-        found = F.flatten(F.array(*hits)) if hits else F.array().cast("array<string>")
-        tagged = df.withColumn("topic", F.explode(found))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out

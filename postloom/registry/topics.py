@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import fixed
 from postloom.functions import topics as T
-from postloom.operators import joins as J
+from postloom.operators import catalogue as C
 from postloom.operators import profile as P
 from postloom.operators import timeseries as TS
 from postloom.session import spread
@@ -100,10 +100,34 @@ select topic, count(*) as n from p join c on regexp_matches(t, pattern) group by
 )
 def topic_catalogue(spark, sf_dir):
     catalogue = spark.createDataFrame(list(FAST_TOPICS.items()), "topic string, pattern string")
-    tagged = J.tag_topics(posts(spark, sf_dir), "post", catalogue)
+    tagged = C.tag_topics(posts(spark, sf_dir), "post", catalogue)
     return tagged.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Characters that mean something in a pattern.
+SPECIAL = r"([\\.*+?^$|(){}\[\]-])"
+
+
+@query(
+    "topic_passages",
+    rf"""with w as (select item_id, string_split_regex(trim(text), '\s+') as w from benchmark),
+c as (select item_id, '(?i)' || regexp_replace(w[1], {text_literal(SPECIAL)}, '\\\1', 'g') || '\s+'
+             || regexp_replace(w[2], {text_literal(SPECIAL)}, '\\\1', 'g') as pattern from w where len(w) > 1)
+select item_id, count(*) as n from documents d join c on regexp_matches(d.text, c.pattern)
+group by item_id""",
+)
+def topic_passages(spark, sf_dir):
+    """A catalogue made from a table: the first two words of every benchmark item."""
+    w = F.split(F.trim("text"), r"\s+")
+    safe = lambda i: F.regexp_replace(F.col("w")[i], SPECIAL, r"\\$1")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), w.alias("w"))
+    catalogue = items.where(F.size("w") > 1).select(
+        "topic", F.concat(F.lit("(?iu)"), safe(0), F.lit(r"\s+"), safe(1)).alias("pattern")
+    )
+    tagged = C.tag_topics(table(spark, sf_dir, "documents"), "text", catalogue)
+    return tagged.groupBy(F.col("topic").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "topic_top_hits",
     f"""with p as (select text as t from documents),

@@ -82,15 +82,6 @@ def test_fast_topics_find_the_same(spark):
             assert any(r["a"] for r in pairs), name
 
 
-def test_tag_topics_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(J, "TOPICS_PER_ARRAY", 2)
-    df = spark.createDataFrame([(1, "a b c"), (2, "c")], "id int, t string")
-    catalogue = spark.createDataFrame([(x, x) for x in "abcd"], "topic string, pattern string")
-    tagged = J.tag_topics(df, "t", catalogue).select("id", "topic")
-    assert sorted(map(tuple, tagged.collect())) == [(1, "a"), (1, "b"), (1, "c"), (2, "c")]
-    assert "Join" not in plan_of(tagged) and "Cartesian" not in plan_of(tagged)
-
-
 def test_counts_with_nulls(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("none",)], "v string")
     assert [tuple(r) for r in P.value_counts(df, "v", 2).collect()] == [("a", 2), ("b", 1)]
@@ -186,18 +177,6 @@ def test_points_keep_their_rows(spark):
     assert [(r["k"], r["t"]) for r in rows] == [("a", "new"), ("b", None)]
 
 
-def test_many_topics(spark):
-    """Every pattern counts, in one scan or in several; a topic has one pattern."""
-    topics = spark.createDataFrame([(f"t{i:03}", f"w{i:03}") for i in range(450)], "topic string, pattern string")
-    posts = spark.createDataFrame([(1, "w000 w210 w449"), (2, "none"), (3, None)], "id int, text string")
-    for per_scan in (1000, 200):
-        rows = J.tag_topics(posts, "text", topics, per_scan).collect()
-        assert sorted((r["id"], r["topic"]) for r in rows) == [(1, "t000"), (1, "t210"), (1, "t449")]
-    assert J.tag_topics(posts, "text", topics.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        J.tag_topics(posts, "text", topics.withColumn("topic", F.lit("one")))
-
-
 def test_sentiment(spark):
     posts = spark.createDataFrame([(1, "Good good bad"), (2, "nothing"), (3, None)], "id int, t string")
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
