@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from postloom.functions import fixed
 from postloom.functions.emoji import name_emoji
 
-# Word-like units of a post, tried in this order at every position. Repetitions are over
-# single characters, and those that may run past the found token are bounded (a host name
-# has 253 characters, a mailbox 64) or start at a run's first character, so a text of any
-# length is one pass.
+# Word-like units of a post, tried in this order at every position, as tokenizers of posts
+# commonly do. Nothing is bounded: repetitions are over single characters, and a form that may
+# run on for long without becoming a token begins only where its run of characters begins (RUNS),
+# so a run is looked through once for each form and a text of any length is a few passes.
+SUFFIXES = "com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es"
 TOKEN_FORMS = {
     "link": r"(?:https?://|www\.)[^\s]*[^\s.,;:!?\"')\]]",
-    "bare_link": (
-        r"[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.(?:com|org|net|edu|gov|info|io|co|uk|us|eu|de|fr|es)"
-        r"\b(?:/[^\s]*)?"
-    ),
+    "bare_link": rf"[A-Za-z0-9][A-Za-z0-9.-]*\.(?:{SUFFIXES})\b(?:/[^\s]*)?",
     "face": r"[<>]?[:;=8][-o*']?[)\](\[dDpP/}{@|\\]|[)\](\[dDpP/}{@|\\][-o*']?[:;=8][<>]?",
     "markup": r"<[^<>\s]+>",
     "arrow": r"-+>|<-+",
     "handle": r"@[\p{L}\p{N}_]+",
     "hashtag": r"#+[\p{L}\p{N}_][\p{L}\p{N}_'-]*[\p{L}\p{N}_]|#+[\p{L}\p{N}_]",
-    "mail": r"[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{0,180}[A-Za-z0-9]",
+    "mail": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]",
     "joined_word": r"\p{L}[\p{L}'_-]+\p{L}",
     "number": r"[+-]?\p{Nd}+[,/.:-]\p{Nd}+[+-]?",
     "word": r"[\p{L}\p{N}_]+",
@@ -36,13 +34,18 @@ TOKEN_FORMS = {
 # look ahead refuses the costly forms early. Named classes run faster than mixed ranges.
 FAST_STARTS = {
     "link": "(?=[hw])",
-    "bare_link": r"(?=[\p{Alnum}-]{1,251}+\.)",
+    # a host and a mailbox begin where their run does
+    "bare_link": r"(?<![\p{Alnum}.-])(?=[\p{Alnum}-]++\.)",
     # a run of dashes or of # is looked through once, possessively, and only from its start
     "arrow": r"(?=<-|(?<!-)-++>)",
     "hashtag": r"(?=(?<!#)#++[\p{L}\p{N}_])",
-    "mail": r"(?=[A-Za-z0-9_.+-]{1,64}+@)",
+    "mail": r"(?<![\p{Alnum}_.+-])(?=[\p{Alnum}_.+-]++@)",
     "number": r"(?=[+\p{Nd}-])",
 }
+# Dots and dashes before a host, which are tokens of their own.
+BEFORE_HOST = (
+    r"(?<![\p{Alnum}.-])([.-]++)(?=\p{Alnum}[\p{Alnum}.-]*\.(?:" + SUFFIXES + r")\b)"
+)
 TOKEN = "(?:" + "|".join(TOKEN_FORMS.values()) + ")"
 FAST_TOKEN = (
     r"(?:\p{L}++(?=[ \n])|"
@@ -57,7 +60,8 @@ def plain_quotes(text: Column) -> Column:
 
 def post_tokens(text: Column) -> Column:
     """Words, handles, links, tags, numbers, faces and single symbols, in order."""
-    return F.regexp_extract_all(text, F.lit(FAST_TOKEN), F.lit(0))
+    apart = F.regexp_replace(text, BEFORE_HOST, "$1 ")
+    return F.regexp_extract_all(apart, F.lit(FAST_TOKEN), F.lit(0))
 
 
 def rewrite_tokens(joined: Column) -> Column:

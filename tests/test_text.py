@@ -1,5 +1,7 @@
 """Golden texts for the column functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,43 @@ def test_long_runs_are_one_token(spark):
         3: [*"----", "d"],
         4: [*"##", "e"],
     }
+
+
+def tokens(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", normalise.post_tokens(F.col("t")).alias("w")).collect()
+    return [r["w"] for r in sorted(rows)]
+
+
+def test_long_hosts_and_mailboxes_are_one_token(spark):
+    """No length cuts a host, a mailbox or a domain."""
+    host = "a-1." * 2500 + "org"
+    box, domain = "b." * 5000 + "c", "d-d." * 2500 + "example"
+    whole = [host, host + "/path?x=1", f"{box}@{domain}", "x" * 10_000 + ".com", "www." + "y" * 10_000]
+    assert tokens(spark, [f"see {w} now" for w in whole]) == [["see", w, "now"] for w in whole]
+
+
+def test_hosts_and_mailboxes_begin_with_their_run(spark):
+    found = tokens(
+        spark,
+        ["...example.org", "see -example.org", "a.b.example.org.", "x@y", "a@b.c-", "l'amour.x.de", "-a@b.co", ":-D a", "1.2.3", "-5-3 .5"],
+    )
+    assert found == [
+        ["...", "example.org"], ["see", "-", "example.org"], ["a.b.example.org", "."], ["x", "@y"], ["a@b.c", "-"],
+        ["l'amour", ".", "x", ".", "de"], ["-a@b.co"], [":-D", "a"], ["1.2", ".", "3"], ["-5-3", ".", "5"],
+    ]
+
+
+@pytest.mark.parametrize(
+    "unit",
+    list("a1.-_@#<>:'/+,é中🧐=)\\ \n")
+    + ["a.", "a-", "a..", "a@", "@a", "a'", ".-", "www.", "http://", "a@b.", "1-", "-1", "<a", "#a", "a_.", "=)", "a+", ". ", "a.com_", "a.b@"],
+)
+def test_a_megabyte_of_anything_is_linear(spark, unit):
+    """A token list of 1 MB of one character, or of one short piece, in about a second."""
+    text = unit * (1_000_000 // len(unit.encode()))
+    df = spark.createDataFrame([(text,), (text + " x.org b@c.de",)], "t string").coalesce(1)
+    start = time.perf_counter()
+    kept = df.select(F.length(F.array_join(normalise.post_tokens(F.col("t")), "")).alias("n")).collect()
+    assert time.perf_counter() - start < 8
+    assert kept[1]["n"] - kept[0]["n"] >= len("x.orgb@c.de")
