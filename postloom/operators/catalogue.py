@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from postloom.functions.literals import fold, required_literals
 
@@ -115,32 +115,41 @@ def tag_topics(
                         machine.add_word(literal, tuple(found))
                 machine.make_automaton()
             always = known.get("", set())
-            rows, hits = [], []
+            rows, ends, hits = [], [0], []
             for i, value in enumerate(posts.field(text).to_pylist()):
                 found = set(always)
                 if len(machine):
                     for _, some in machine.iter(fold(value)):
                         found.update(some)
-                rows += [i] * len(found)
-                hits += sorted(found)
-            for at in range(0, len(rows), 2048):
-                part = hits[at : at + 2048]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        posts.take(pa.array(rows[at : at + 2048], pa.int32())),
-                        pa.array([names[h][0] for h in part], topic_kind),
-                        pa.array([names[h][1] for h in part], pa.string()),
-                    ],
-                    names=["post", "topic", "pattern"],
-                )
+                if found:
+                    rows.append(i)
+                    hits += sorted(found)
+                    ends.append(len(hits))
+            pairs = pa.StructArray.from_arrays(
+                [
+                    pa.array([names[h][0] for h in hits], topic_kind),
+                    pa.array([names[h][1] for h in hits], pa.string()),
+                ],
+                names=["topic", "pattern"],
+            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays(
+                [posts.take(pa.array(rows, pa.int32())), lists], names=["post", "found"]
+            )
 
     topic_kind = to_arrow_type(catalogue.schema["topic"].dataType)
-    schema = StructType(
+    pair = StructType(
         [
-            StructField("post", StructType(df.schema.fields)),
             StructField("topic", catalogue.schema["topic"].dataType),
             StructField("pattern", StringType()),
         ]
     )
+    schema = StructType(
+        [StructField("post", StructType(df.schema.fields)), StructField("found", ArrayType(pair))]
+    )
     found = dealt.select("head", "post").mapInArrow(search, schema)
-    return found.where(F.rlike(F.col(f"post.`{text}`"), F.col("pattern"))).select("post.*", "topic")
+    value = F.col(f"post.`{text}`")
+    hit = F.filter("found", lambda pair: F.rlike(value, pair["pattern"]))
+    return found.select("post", F.explode(hit).alias("hit")).select(
+        "post.*", F.col("hit.topic").alias("topic")
+    )
