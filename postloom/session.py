@@ -66,3 +66,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def ensure_checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows once to the shared folder and reads them back: lineage ends there."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

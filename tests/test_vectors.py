@@ -198,3 +198,47 @@ def test_task_functions_need_no_package_on_the_executor(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.strip() == "[[0.6, 0.8]]", done.stderr
+
+
+def wide_frame(spark, values, slices):
+    rows = [(i, v.tolist()) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "tweet_id long, embedding array<double>").repartition(slices)
+
+
+def decaying(rows, width, seed, power):
+    draw = np.random.default_rng(seed)
+    n = min(rows, width)
+    left = np.linalg.qr(draw.standard_normal((rows, n)))[0]
+    right = np.linalg.qr(draw.standard_normal((width, n)))[0]
+    return (left * (100.0 / np.arange(1, n + 1) ** power)) @ right.T
+
+
+@pytest.mark.parametrize("rows, width, power", [(300, 700, 1.0), (40, 20_000, 0.5), (900, 120, 0.3), (3, 200, 1.0)])
+def test_svd_of_any_width(spark, monkeypatch, rows, width, power):
+    """Vectors far wider than the block, more tasks than the tree merges at once."""
+    monkeypatch.setattr(R, "TREE", 3)
+    values = decaying(rows, width, 3, power)
+    df = wide_frame(spark, values, 13)
+    sizes, vectors = R.truncated_svd(df, 2, seed=1)
+    _, s, vt = np.linalg.svd(values, full_matrices=False)
+    assert np.allclose(sizes, s[:2], rtol=1e-10)
+    for k in range(2):
+        assert abs(abs(vectors[:, k] @ vt[k]) - 1) < 1e-9
+    model = R.fit_svd(df, fraction=1.0, seed=2).orderBy("component").collect()
+    assert np.allclose([r["singular_value"] for r in model], s[:2], rtol=1e-10)
+    assert all(max(r["weights"], key=abs) > 0 for r in model)
+
+
+def test_svd_collects_nothing_wider_than_its_block(spark):
+    df = wide_frame(spark, decaying(50, 500, 1, 1.0), 4)
+    rows = R.block_pass(df, np.eye(500)[:, :6]).collect()
+    assert {len(r["row"]) for r in rows} == {6}
+    assert sorted(r["i"] for r in rows) == sorted([*range(500), *range(-6, 0)])
+
+
+def test_svd_of_zeros_and_nothing(spark):
+    zeros = wide_frame(spark, np.zeros((5, 90)), 2)
+    sizes, _ = R.truncated_svd(zeros, 2)
+    assert sizes.tolist() == [0, 0]
+    with pytest.raises(ValueError):
+        R.truncated_svd(zeros.limit(0), 2)
