@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from postloom.functions.vectors import cosine_distance, fold, widen
@@ -115,6 +116,38 @@ def test_nearest_in_blocks(vectors, frame, monkeypatch):
     assert found == brute_nearest(frame, as_dict(means), 5)
 
 
+@pytest.mark.parametrize("pivots, block_rows", [(2048, 4096), (40, 7), (1, 100)])
+def test_nearest_of_many_centroids(spark, monkeypatch, pivots, block_rows):
+    """One scan of the posts, however many blocks; hits equal to brute force."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(30, 12))
+    around = lambda n: hubs[rng.integers(30, size=n)] + rng.normal(size=(n, 12)) * 0.05
+    posts = [(i, i % 3, v.tolist()) for i, v in enumerate(around(2500))]
+    middles = [(f"c{i}", v.tolist()) for i, v in enumerate(around(600))]
+    df = spark.createDataFrame(posts, "vec_id long, label int, embedding array<double>").repartition(6)
+    centres = spark.createDataFrame([*middles, ("zero", [0.0] * 12), ("none", None)], "label string, centroid array<double>")
+    hits = S.nearest(df, centres, 4, pivots=pivots)
+    found = {}
+    for r in hits.orderBy("narrative", "rank").collect():
+        found.setdefault(r["narrative"], []).append(r["vec_id"])
+    assert found == brute_nearest(df.toPandas(), dict(middles), 4)
+    assert plan_of(hits).count("Scan ExistingRDD") <= 2
+
+
+def test_blocks_are_skipped(spark):
+    """Posts far from a block's pivot are not sent to it."""
+    rng = np.random.default_rng(9)
+    hubs = rng.normal(size=(20, 16))
+    near = lambda n: (hubs[rng.integers(20, size=n)] + rng.normal(size=(n, 16)) * 0.01).tolist()
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(near(4000))], "vec_id long, label int, embedding array<double>").coalesce(2)
+    centres = spark.createDataFrame(list(enumerate(near(500))), "label int, centroid array<double>")
+    _, info = S._blocks(centres, 100)
+    assert 20 <= len(info["blocks"]) <= 100 and info["chunks"].max() == 1
+    sent = S.near_blocks(df, info, 3, "vec_id", "label", "embedding").count()
+    assert 3 * len(info["blocks"]) <= sent < 0.15 * 4000 * len(info["blocks"])
+
+
 def test_nearest_zero_vector_and_ties(spark):
     rows = [(1, 0, [0.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 1, [2.0, 0.0]), (4, 1, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
