@@ -40,6 +40,10 @@ WORDY = set(
     "comment comments commentlist disqus respond replies discussion cookie cookies consent gdpr "
     "popup modal newsletter".split()
 )
+# Marks that tell an advert also on a heading or paragraph of an article; the others may be
+# part of what it is about there, such as a share price or related work.
+ADVERTS = set("ad ads advert adverts advertisement advertising sponsored".split())
+LINES = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
 ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 LISTS = {"ul", "ol", "dl", "table"}
 BOXES = {"div", "section", "article"}
@@ -60,9 +64,43 @@ ENDED = {
 }
 SCOPES = set("article aside body div section main table td th ul ol li blockquote button object".split())
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Elements whose content is no markup, and comments: what is read as one piece.
+PIECES = re.compile(r"<!--|<(script|style|textarea|title|iframe|xmp|noembed|noframes)(?=[\s/>])", re.I)
+COMMENT_END = re.compile("--!?>")
 SPACE = " \t\n\r\f\v"
 
 
+def _without_comments(html: str) -> str:
+    """The page with empty comments, so that none is searched for its end again and again.
+
+    A comment without an end runs to the end of the page. A ``<`` after the last ``>`` begins
+    no tag.
+    """
+    out, at = [], 0
+    while piece := PIECES.search(html, at):
+        if piece[1]:
+            end = re.compile(f"</{piece[1]}", re.I).search(html, piece.end())
+            if not end:
+                break
+            body = html[piece.end() : end.start()]
+            if piece[1].lower() not in ("script", "style"):  # which the parser knows
+                body = body.replace("<", "&lt;")
+            out += [html[at : piece.end()], body]
+            at = end.start()
+            continue
+        out.append(html[at : piece.start()] + "<!---->")
+        # the shortest comments share their dashes
+        short = html.startswith((">", "->"), piece.end())
+        end = None if short else COMMENT_END.search(html, piece.end())
+        if not short and not end:
+            return "".join(out)
+        at = html.index(">", piece.end()) + 1 if short else end.end()
+    out.append(html[at:])
+    page = "".join(out)
+    last = page.rfind(">") + 1
+    return page[:last] + page[last:].replace("<", "&lt;")
+
+
 class _Tree(HTMLParser):
     """Nodes in page order: tag, parent, attributes; texts between them."""
 
@@ -71,6 +109,7 @@ class _Tree(HTMLParser):
         self.tags, self.parents, self.attrs = ["#root"], [-1], [()]
         self.flow: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at its ends
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}  # of the open elements, by tag
 
     def parse_marked_section(self, i, report=1):
         end = self.rawdata.find(">", i)
@@ -78,16 +117,18 @@ class _Tree(HTMLParser):
 
     def _end(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.flow.append((self.open.pop(), None))
+            node = self.open.pop()
+            self.depths[self.tags[node]].pop()
+            self.flow.append((node, None))
+
+    def _deepest(self, tags: set) -> int:
+        """Depth of the innermost open element of one of these tags, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
 
     def _end_open(self, tags: set, scope: set) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in tags:
-                return self._end(depth)
-            if tag in scope:
-                return None
-        return None
+        depth = self._deepest(tags)
+        if depth > self._deepest(scope):
+            self._end(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in P_ENDERS:
@@ -104,16 +145,15 @@ class _Tree(HTMLParser):
         if tag in VOID:
             self.flow.append((node, None))
         else:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == tag:
-                return self._end(depth)
-        return None
+        if depth := self._deepest({tag}):
+            self._end(depth)
 
     def handle_data(self, data):
         self.flow.append((self.open[-1], data))
@@ -129,15 +169,19 @@ def _shut(attrs) -> bool:
     return False
 
 
-def _mark(tag: str, attrs) -> int:
-    """1 for a form or a name in MARKS, 2 for one in WORDY, else 0."""
+def _mark(tag: str, attrs, inner: bool = False) -> int:
+    """1 for a form or a name in MARKS, 2 for one in WORDY, else 0.
+
+    Within an article or main, headings and paragraphs are marked by WORDY and ADVERTS only.
+    """
     found = int(tag == "form")
     for name, value in attrs:
         if name == "role" and value and value.strip().lower() == "form":
             found = max(found, 1)
         if name in ("class", "id") and value:
             words = {t.lower() for t in TOKEN.findall(value)}
-            found = max(found, 2 if words & WORDY else 1 if words & MARKS else 0)
+            some = ADVERTS if inner and tag in LINES else MARKS
+            found = max(found, 2 if words & WORDY else 1 if words & some else 0)
     return found
 
 
@@ -168,7 +212,7 @@ def _left_out(tree: _Tree) -> list[bool]:
             or (tag == "header" and not inner[k])
             or (not plain and _shut(tree.attrs[k]))
         )
-        marks.append(0 if plain else _mark(tag, tree.attrs[k]))
+        marks.append(0 if plain else _mark(tag, tree.attrs[k], inner[k]))
     if not any(marks):
         return hard
     return _without_marked(tree, hard, marks)
@@ -360,7 +404,7 @@ def _content(tree: _Tree, out: list[bool]) -> list[bool]:
 def main_text(html: str) -> str:
     """The page's blocks in page order, white space as one space, joined by one space."""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(_without_comments(html))
     tree.close()
     tree._end(1)
     out = _left_out(tree)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -298,6 +299,43 @@ def test_renamed_articles():
     assert [main_text(as_div(x)) for x in pages] == [main_text(x) for x in pages]
 
 
+@pytest.mark.parametrize("box", ["article", "main"])
+def test_marked_lines_of_an_article(box):
+    """A name of a heading or paragraph may be what the article is about."""
+    page = f"<{box}><h1 class='banner-title'>Title</h1><p class='share-price'>Up again.{PART}<h2 id='related-work'>Work</h2><p class=alert>Mind this.{PART}</{box}>"
+    assert main_text(WRAP % page) == f"Title Up again. {PART_TEXT} Work Mind this. {PART_TEXT}"
+    rest = f"<p class=ad>Buy.<div class=alert><p>Box.</div><h2 id=comments>Comments</h2><div class='related-work'>Next.</div>"
+    assert main_text(WRAP % page.replace(f"</{box}>", rest + f"</{box}>")) == main_text(WRAP % page)
+    assert main_text(WRAP % f"<div class='banner-title'>Site</div><{box}>{PART}</{box}>") == PART_TEXT
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"a<!-- <p>no</p> -->b<!-->c<!--->d<!-- x --!>e<!-- -- > -->f", "abcdef"),
+        ("<p>one<!-- never ends <p>two", "one"),
+        ("<script>x = '<!--'</script><p>one</p><style><!-- p{} --></style><p>two", "one two"),
+        ("<p>one</p> 1 < 2 <b and", "one 1 < 2 <b and"),
+        ("<textarea><!--</textarea><p>one --> two", "one --> two"),
+    ],
+)
+def test_comments(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<b><hr>", "<div></i>", "<!--", "<!-- -->", "<", "<a ", "</a", "</a>", "<p>", "<li>", "<td>", "<div>x", "<!", "<?", "<![x", "&",
+     "&amp", "<a href='", "<table><tr>", "<p><button><b>", "<hr>", "<script>", "<article><p class=ad>x", "<b></i><p>", "x ", "]]>", "<div class=ad>"],
+)
+def test_hostile_pages_take_linear_time(unit):
+    """1 MB of unclosed, unmatched or nested parts, well within seconds."""
+    for page in (unit * (1_000_000 // len(unit)), "<p><button>" + unit * (500_000 // len(unit)) + "<hr>" * 100_000):
+        start = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - start < 10
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "z"), (1, "u", "", "z"), (None, None, "<p>x " + "y " * 50_000, "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
