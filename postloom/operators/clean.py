@@ -36,10 +36,10 @@ def flatten_user(raw: DataFrame, fields: Sequence[str] | None = None) -> DataFra
     )
 
 
-def flatten_posts(raw: DataFrame) -> DataFrame:
+def flatten_posts(raw: DataFrame, user_fields: Sequence[str] | None = None) -> DataFrame:
     """Nested fields as flat columns; the nested ones are dropped."""
     entities = F.col("entities")
-    flat = flatten_user(raw).withColumns(
+    flat = flatten_user(raw, user_fields).withColumns(
         {
             "hashtags": joined_items(entities["hashtags"], "text"),
             "symbols": joined_items(entities["symbols"], "text"),

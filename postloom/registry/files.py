@@ -183,7 +183,9 @@ def warehouse_table(spark, sf_dir):
     SW.load_once(rows, name, shared_folder(spark, "warehouse"))
     if SW.load_once(rows.limit(0), name):
         raise ValueError("an existing table was replaced")
-    return SW.english_rows(spark, name)
+    rows = SW.english_rows(spark, name)
+    SW.drop_table(spark, name)  # the rows are read from their own path
+    return rows
 
 
 @query(
@@ -198,7 +200,10 @@ def warehouse_days(spark, sf_dir):
     for i, lang in enumerate(["de", "en", "es", "fr"], start=1):
         name = SW.table_of_day(prefix, f"2024-01-0{i}")
         SW.load_once(rows.where(F.col("lang") == lang), name, shared_folder(spark, "warehouse"))
-    return SW.table_days(spark, prefix)
+    days = SW.table_days(spark, prefix)
+    for name in SW.table_names(spark, prefix):
+        SW.drop_table(spark, name)
+    return days
 
 
 @query(

@@ -142,4 +142,6 @@ def listed_word_drop(spark, sf_dir):
     spoken = table(spark, sf_dir, "conversations").select(
         F.explode(words(F.col("text"))).alias("word")
     )
-    return J.drop_listed_words(spoken, stop).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # counted first, so that distinct words meet the list
+    counts = spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return J.drop_listed_words(counts, stop)

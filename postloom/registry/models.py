@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from postloom.operators import centroid_days as CD
 from postloom.operators import centroids as C
 from postloom.operators import encode as V
 from postloom.operators import reduce as R
@@ -134,6 +137,31 @@ def centroid_tables(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "centroid_days",
+    """with e as (select label, unnest(embedding)::double as v,
+                         generate_subscripts(embedding, 1) - 1 as pos from embeddings)
+select label, pos::integer as pos, count(*) as n, round(avg(v), 6) + 0.0 as mean,
+       round(stddev_samp(v), 6) + 0.0 as std from e group by all""",
+)
+def centroid_days(spark, sf_dir):
+    """Three days, then one of them again with all its rows, then the other days, merged."""
+    start = date(2024, 1, 1)
+    days = [start + timedelta(d) for d in range(7)]
+    vectors = _vectors(spark, sf_dir).withColumn(
+        "day", F.date_add(F.lit(start), F.pmod("tweet_id", F.lit(7)).cast("int"))
+    )
+    path = shared_folder(spark, "centroid-days")
+    CD.update_days(vectors.where("tweet_id % 3 = 0"), path, days[:3])
+    CD.update_days(vectors, path, days[1:3])
+    CD.update_days(vectors, path, [days[0], *days[3:]])
+    whole = CD.centroids_of_days(spark, path)
+    cells = whole.select("label", "n", F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "c"))
+    return cells.select(
+        "label", "pos", "n", F.col("c.mean").alias("mean"), F.col("c.std").alias("std")
+    ).withColumns({"mean": rounded("mean"), "std": rounded("std")})
+
+
 @query("encode_hashing")
 def encode_hashing(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
@@ -156,6 +184,26 @@ def encode_weighted(spark, sf_dir):
     return V.encode_hashing(rows, "text", V.fit_weights(rows, "text")).drop("text")
 
 
+@query(
+    "encode_idf",
+    f"""select doc_id, len({word_list('text')})::bigint as tokens, true as weighted
+from documents where text is not null""",
+)
+def encode_idf(spark, sf_dir):
+    """Every weighted vector is its counts times log((n + 1) / (documents with the term + 1)),
+    with the documents of each bucket counted anew."""
+    counts = encode_hashing(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "tf"))
+    weighted = encode_weighted(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "w"))
+    n = counts.agg(F.countDistinct("doc_id").alias("n"))
+    held = counts.groupBy("pos").agg(F.sum((F.col("tf") > 0).cast("long")).alias("held"))
+    cells = counts.join(weighted, ["doc_id", "pos"]).join(held, "pos").join(F.broadcast(n))
+    expected = F.col("tf") * F.log((F.col("n") + 1) / (F.col("held") + 1))
+    near = F.abs(F.col("w") - expected) <= 1e-5 * (1 + F.abs(expected))
+    return cells.groupBy("doc_id").agg(
+        F.sum("tf").cast("long").alias("tokens"), F.min(near).alias("weighted")
+    )
+
+
 LETTERS = "etaoinsh"
 
 
@@ -198,3 +246,30 @@ def post_points(spark, sf_dir):
     model = R.fit_svd(vectors, fraction=1.0)
     out = stages.points_of(vectors, model, posts)
     return out.select("tweet_id", "created_at", "tweet", rounded("x", 4), rounded("y", 4))
+
+
+COUNTS_SQL = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::double" for c in LETTERS)
+
+
+@query(
+    "retrieval_from_text",
+    f"""with v as (select doc_id, lang, [{COUNTS_SQL}] as e from documents
+           where text is not null),
+cells as (select doc_id, lang, unnest(e) as x, generate_subscripts(e, 1) as pos from v where doc_id % 2 = 0),
+m as (select lang, pos, avg(x) as x from cells group by all),
+c as (select lang as narrative, list(x order by pos) as c from m group by 1),
+d as (select narrative, lang, row_number() over (partition by narrative
+             order by round(list_cosine_distance(c, e), 12), doc_id) as rank
+      from v, c where doc_id % 2 = 1 and list_sum(e) > 0)
+select narrative, sum((narrative = lang)::integer)::bigint as hits,
+       sum((narrative = lang)::integer) / 25.0::double as precision
+from d where rank <= 25 group by 1""",
+)
+def retrieval_from_text(spark, sf_dir):
+    """Texts to vectors by an encoder; means of the train rows, precision on the test rows."""
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    languages = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    vectors = V.encode_with(rows, "doc_id", "text", letter_encoder).join(languages, "doc_id")
+    train, test = (vectors.where(F.col("doc_id") % 2 == k) for k in (0, 1))
+    per_label, _ = stages.retrieval_quality(train, test, 25, "doc_id", "lang")
+    return per_label

@@ -198,3 +198,23 @@ def stream_dedupe(spark, sf_dir):
     once = SW.first_of_each(SW.with_event_time(twice, "ts", "1 hour"), "event_id")
     return to_the_end(once.select("event_id", "event_type"), "once")
 
+
+
+@query(
+    "stream_gaps",
+    """with t as (select time_bucket(interval '15 minutes', max(ts) - interval 1 hour) as edge from events),
+c as (select distinct event_type, time_bucket(interval '15 minutes', ts) as bucket from events),
+p as (select event_type, bucket + interval 15 minute as gap_start,
+             lead(bucket) over (partition by event_type order by bucket) as gap_end from c, t where bucket < edge)
+select event_type, gap_start, gap_end, cast(epoch(gap_end - gap_start) / 900 as bigint) as buckets
+from p where gap_end > gap_start""",
+)
+def stream_gaps(spark, sf_dir):
+    """Silent quarter hours of each type of event, from state and timers."""
+    found = to_the_end(SW.gap_runs(events(spark, sf_dir), "ts", 900, "event_type"), "gaps")
+    return found.select(
+        "event_type",
+        F.col("gap_start").cast("timestamp_ntz").alias("gap_start"),
+        F.col("gap_end").cast("timestamp_ntz").alias("gap_end"),
+        "buckets",
+    )

@@ -99,19 +99,7 @@ from raw""",
 )
 def flatten_posts(spark, sf_dir):
     raw = raw_posts(spark, sf_dir)
-    names = raw.schema["user"].dataType.names
-    flat = K.flatten_user(raw, names)
-    e = F.col("entities")
-    return flat.withColumns(
-        {
-            "hashtags": K.joined_items(e["hashtags"], "text"),
-            "symbols": K.joined_items(e["symbols"], "text"),
-            "urls": K.joined_items(e["urls"], "url"),
-            "user_mentions": K.joined_items(e["user_mentions"], "screen_name"),
-            "tweet_source": K.anchor_label(F.col("source")),
-            "quoted_status_url": K.optional_link(F.col("quoted_status_permalink")),
-        }
-    ).drop("entities", "source", "quoted_status_permalink")
+    return K.flatten_posts(raw, raw.schema["user"].dataType.names)
 
 
 @query(

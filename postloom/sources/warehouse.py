@@ -35,3 +35,8 @@ def table_days(spark: SparkSession, prefix: str) -> DataFrame:
 
 def english_rows(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql("select * from identifier(:t) where lang = 'en'", args={"t": table})
+
+
+def drop_table(spark: SparkSession, table: str) -> None:
+    """Takes the name out of the catalog; rows written to a path of their own stay there."""
+    spark.sql("drop table if exists identifier(:t)", args={"t": table})

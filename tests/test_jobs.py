@@ -274,3 +274,35 @@ def test_narrative_job_keeps_repeated_and_empty_posts(spark, tmp_path):
         ("label=n2", "2", None): 0.0,
         ("label=n2", "1", "bad"): -0.25,
     }
+
+
+def test_gap_runs_on_a_stream(spark, tmp_path):
+    """Rows in several batches, some late: as the batch form finds gaps, per key, after a restart too."""
+    from datetime import datetime, timedelta
+
+    from postloom.operators import timeseries
+    from postloom.streaming import capture, windows
+
+    at = lambda minutes: datetime(2024, 5, 1) + timedelta(minutes=minutes)
+    batches = [
+        [("a", 1), ("a", 20), ("b", 3), ("a", 130)],
+        [("a", 65), ("a", 118), ("b", 125), ("b", 131)],  # late, within the delay
+        [("a", 400), ("b", 410), ("a", 4)],
+        [("a", 31), ("b", 700), ("a", 690)],  # 31 is later than the delay, and left out
+        [("a", 2000), ("c", 1990), ("b", 2010)],
+    ]
+    schema = "key string, ts timestamp"
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for k, rows in enumerate(batches):
+        part = spark.createDataFrame([(key, at(m)) for key, m in rows], schema)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        found = windows.gap_runs(windows.with_event_time(stream, "ts", "90 minutes"), "ts", 900, "key")
+        capture.append_stream(found, out, checkpoint).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    kept = [(key, m) for rows in batches for key, m in rows if m != 31 and m < 2010 - 90 - 15]
+    expected = []
+    for key in "abc":
+        rows = spark.createDataFrame([(at(m),) for k, m in kept if k == key], "ts timestamp")
+        expected += [(key, *r) for r in timeseries.gaps(rows, "ts", "15 minutes").collect()]
+    assert got == sorted(expected) and len(got) == 7

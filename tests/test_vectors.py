@@ -1,11 +1,14 @@
 """Vector operators against numpy and pandas."""
 
+from datetime import date, timedelta
+
 import numpy as np
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
 from postloom.functions.vectors import cosine_distance, fold, widen
+from postloom.operators import centroid_days as CD
 from postloom.operators import centroids as C
 from postloom.operators import encode as V
 from postloom.operators import reduce as R
@@ -275,3 +278,46 @@ def test_svd_of_zeros_and_nothing(spark):
     assert sizes.tolist() == [0, 0]
     with pytest.raises(ValueError):
         R.truncated_svd(zeros.limit(0), 2)
+
+
+def test_centroids_kept_up_by_day(spark, tmp_path):
+    """Days come one by one, one is rerun, one is emptied; merged states equal the whole."""
+    rng = np.random.default_rng(11)
+    start = date(2024, 3, 1)
+    rows = [
+        (start + timedelta(int(k) % 5), "abc"[int(k) % 3], (rng.normal(size=4) * 1e-3 + 1e6).tolist())
+        for k in rng.integers(1000, size=400)
+    ]
+    rows += [(start, "one", [1.0, 2.0, 3.0, 4.0]), (start + timedelta(6), "gone", [0.0] * 4), (None, "a", [9.0] * 4)]
+    df = spark.createDataFrame(rows, "day date, label string, embedding array<double>").repartition(3)
+    path = str(tmp_path / "states")
+    days = [start + timedelta(d) for d in range(7)]
+    CD.update_days(df.where("label <> 'b'"), path, days[:3])
+    CD.update_days(df, path, days[5:])
+    wanted = spark.createDataFrame([(d,) for d in days], "day date")
+    assert {r["day"] for r in CD.days_to_do(wanted, path).collect()} == set(days[3:5])
+    for d in days[:5]:
+        CD.update_days(df, path, [d])
+    CD.update_days(df.where("label <> 'gone'"), path, [days[6]])
+    assert CD.days_to_do(wanted, path).count() == 0
+
+    def check(found, kept):
+        found = {r["label"]: r for r in found.collect()}
+        groups = {}
+        for _, label, v in kept:
+            groups.setdefault(label, []).append(v)
+        assert found.keys() == groups.keys()
+        for label, values in groups.items():
+            m = np.array(values)
+            assert found[label]["n"] == len(m)
+            np.testing.assert_allclose(found[label]["mean"], m.mean(axis=0), rtol=1e-12)
+            if len(m) == 1:
+                assert found[label]["std"] is None
+            else:
+                np.testing.assert_allclose(found[label]["std"], m.std(axis=0, ddof=1), rtol=1e-6)
+
+    kept = [r for r in rows if r[0] and r[1] != "gone"]
+    check(CD.centroids_of_days(spark, path), kept)
+    check(CD.centroids_of_days(spark, path, days[1], days[2]), [r for r in kept if days[1] <= r[0] <= days[2]])
+    plan = plan_of(CD.centroids_of_days(spark, path, days[1], days[2]))
+    assert "PartitionFilters: [isnotnull(day" in plan
