@@ -4,11 +4,13 @@ Documents and items are runs of lower-case words of letters and digits. Shared s
 ``LEAST`` words join documents to items. For each pair, the longest common runs of words not
 yet marked are marked, again and again, with a running Karp-Rabin hash, down to ``LEAST``
 words; so passages count in whatever order they come. A document is contaminated by an item
-when its tiles cover at least ``COVERAGE`` of the item's words.
+when its tiles cover at least ``COVERAGE`` of the item's words. Items of fewer words are one
+seed, and one tile, as a whole. Letters of scripts without spaces are a word each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.frames import store, text_column
+from postloom.llm.frames import key_filter, store, text_column, with_hit
 from postloom.llm.words import (
     gram_hashes,
     ragged,
@@ -36,10 +38,18 @@ BLOCK_BYTES = 32 * 1024 * 1024
 LOOK_BITS = 22
 
 
+# Scripts without spaces between words, and the first bytes of their letters in UTF-8.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+UNSPACED_BYTES = np.zeros(256, dtype=bool)
+UNSPACED_BYTES[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+
+
 def plain_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the words before each text."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     texts = pc.replace_substring_regex(texts, r"[^\pL\pN]+", " ")
+    if UNSPACED_BYTES[text_bytes(texts)[0]].any():
+        texts = pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
     words = split_words(*text_bytes(texts))
     return word_hashes(words), words.docs
 
@@ -119,6 +129,7 @@ class Items(NamedTuple):
     item: np.ndarray  # entries: the item, and the place in it
     place: np.ndarray
     look: np.ndarray  # whether any seed has these upper bits
+    short: list  # for items of fewer words than a seed: (words, sorted hashes, items)
 
 
 def index_items(ids: list, texts: pa.Array) -> Items:
@@ -131,19 +142,49 @@ def index_items(ids: list, texts: pa.Array) -> Items:
     seeds, first = np.unique(hashes[order], return_index=True)
     look = np.zeros(1 << LOOK_BITS, dtype=bool)
     look[seeds >> np.uint64(64 - LOOK_BITS)] = True
+    short, sizes = [], np.diff(begins)
+    for n in range(1, LEAST):
+        whole = np.flatnonzero(sizes == n)
+        if len(whole):
+            found = gram_hashes(words, n)[begins[whole]]
+            ranked = np.argsort(found, kind="stable")
+            short.append((n, found[ranked], whole[ranked]))
     return Items(
         ids, words, begins, seeds, np.concatenate([first, [len(order)]]),
-        item[order], (at - begins[item])[order], look,
+        item[order], (at - begins[item])[order], look, short,
     )
 
 
+def match_short(words: np.ndarray, begins: np.ndarray, items: Items) -> list[tuple[int, int, list[Tile]]]:
+    """(text, item, tile) for items of fewer than ``LEAST`` words that stand whole in a text."""
+    out = []
+    for n, hashes, whole in items.short:
+        grams = gram_hashes(words, n)
+        place = np.flatnonzero(np.isin(grams, hashes))
+        text = np.searchsorted(begins, place, "right") - 1
+        inside = place + n <= begins[text + 1]
+        place, text = place[inside], text[inside]
+        # the first place of each hash in each text
+        order = np.lexsort((place, grams[place], text))
+        place, text = place[order], text[order]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (grams[place[1:]] != grams[place[:-1]])
+        for p, t in zip(place[new].tolist(), text[new].tolist()):
+            a, b = (int(np.searchsorted(hashes, grams[p], side)) for side in ("left", "right"))
+            for k in whole[a:b].tolist():
+                if (items.words[items.begins[k] : items.begins[k] + n] == words[p : p + n]).all():
+                    out.append((t, k, [Tile(0, int(p - begins[t]), n)]))
+    return out
+
+
 def match(texts: pa.Array, items: Items, coverage: float) -> list[tuple[int, int, list[Tile]]]:
     """(text, item, tiles) of the pairs with at least ``coverage``."""
     words, begins = plain_hashes(texts)
+    out = match_short(words, begins, items)
     counts = np.maximum(np.diff(begins) - LEAST + 1, 0)
     grams = gram_hashes(words, LEAST)
     if not len(grams) or not len(items.seeds):
-        return []
+        return out
     maybe = np.flatnonzero(items.look[grams >> np.uint64(64 - LOOK_BITS)])
     text = np.searchsorted(begins, maybe, "right") - 1
     inside = maybe - begins[text] < counts[text]
@@ -151,7 +192,6 @@ def match(texts: pa.Array, items: Items, coverage: float) -> list[tuple[int, int
     seed = np.minimum(np.searchsorted(items.seeds, grams[maybe]), len(items.seeds) - 1)
     real = items.seeds[seed] == grams[maybe]
     maybe, text, seed = maybe[real], text[real], seed[real]
-    out = []
     cuts = np.flatnonzero(np.diff(text)) + 1
     for rows in np.split(np.arange(len(text)), cuts) if len(text) else ():
         t = int(text[rows[0]])
@@ -187,18 +227,21 @@ def match(texts: pa.Array, items: Items, coverage: float) -> list[tuple[int, int
 # ---- tables ------------------------------------------------------------------------------------
 
 
-def _blocks(benchmark: DataFrame):
-    """Items of each pass; a pass holds about BLOCK_BYTES of text, and one item at least."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[Items]]:
+    """Number of passes, and the items of each: about BLOCK_BYTES of text, one item at least."""
     rows = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), text_column(benchmark)
     ).filter("item_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // BLOCK_BYTES + 1
-    for k in range(count):
+
+    def block(k: int) -> Items:
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         table = part.sort("item_id", "text").toArrow().combine_chunks()
         texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-        yield index_items(table["item_id"].to_pylist(), texts)
+        return index_items(table["item_id"].to_pylist(), texts)
+
+    return count, map(block, range(count))
 
 
 FOUND = (
@@ -212,15 +255,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     them the tiles cover, the covered share, and the tiles.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored.
-    NULL texts are empty. Items of fewer than ``LEAST`` words match nothing; NULL item_ids are
-    left out. Repeated rows are matched each, a NULL doc_id stays NULL. Whole texts of any
+    NULL texts are empty. Items of fewer than ``LEAST`` words match where they stand whole, items
+    without words nothing; NULL item_ids are left out. Repeated rows are matched each, a NULL doc_id stays NULL. Whole texts of any
     length are searched. Without documents or items there are no rows.
 
     One pass over the documents for each BLOCK_BYTES of benchmark text, without a shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs))
     found = None
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark)[1]:
         shared = docs.sparkSession.sparkContext.broadcast(tuple(items))  # plain arrays, no class
 
         def find(batches, shared=shared):
@@ -268,12 +311,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without contaminated documents, columns as they are, in the same passes."""
-    columns = docs.columns
-    for items in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(items))  # plain arrays, no class
+    """``docs`` without contaminated documents, columns as they are.
+
+    One block of items is looked for in the pass that keeps the documents. With several, every
+    block has a pass of its own that stores the keys of contaminated texts, and one last pass
+    keeps the others; texts are not shuffled for it, but for the few whose key is among them.
+    """
+    count, blocks = _blocks(benchmark)
+    spark = docs.sparkSession
+    if count == 1:
+        shared = spark.sparkContext.broadcast(tuple(next(blocks)))  # plain arrays, no class
 
-        def keep(batches, shared=shared):
+        def keep(batches):
             items = Items(*shared.value)
             for batch in batches:
                 for part in slices(batch):
@@ -281,5 +330,26 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                     good[[t for t, _, _ in match(part.column("text"), items, coverage)]] = False
                     yield part.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs.select(columns)
+        return docs.mapInArrow(keep, docs.schema)
+    text = text_column(docs)
+    keys = {"__pl_a": F.xxhash64(text), "__pl_b": F.xxhash64(F.lit(1), text)}
+    rows = docs.select(text).withColumns({"a": keys["__pl_a"], "b": keys["__pl_b"]})
+    bad = None
+    for items in blocks:
+        shared = spark.sparkContext.broadcast(tuple(items))
+
+        def find(batches, shared=shared):
+            items = Items(*shared.value)
+            for batch in batches:
+                for part in slices(batch):
+                    found = sorted({t for t, _, _ in match(part.column("text"), items, coverage)})
+                    yield part.select(["a", "b"]).take(pa.array(found, pa.int64()))
+
+        part = store(rows.mapInArrow(find, "a long, b long").distinct(), "contaminated")
+        bad = part if bad is None else bad.union(part)
+        shared.unpersist()
+    bad = bad.select(F.col("a").alias("__pl_a"), F.col("b").alias("__pl_b")).distinct()
+    marked = with_hit(docs.withColumns(keys), "__pl_a", key_filter(bad, "__pl_a"), "__pl_hit")
+    sure = marked.filter("not __pl_hit").select(docs.columns)
+    maybe = marked.filter("__pl_hit").join(bad, ["__pl_a", "__pl_b"], "left_anti")
+    return sure.unionByName(maybe.select(docs.columns))

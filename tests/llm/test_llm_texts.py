@@ -501,3 +501,31 @@ def test_redact(spark):
     assert got[30]["text"] == got[35]["text"] == "é [secret]' end" and got[30]["n_chars"] == 15
     assert got[33]["text"] == "[secret] paſſword=abcdefghijklmnop"
     assert got[5]["text"] is None and got[1]["text"] == ODD[4][1] and out.count() == 16
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    items = [(1, "Name the capital, please"), (2, "日本の首都はどこですか"), (3, "one"), (4, "!?"), (5, "twice twice"), (6, "ไทยแลนด์ ดินแดน")]
+    docs = [
+        (10, "Q: name the capital PLEASE!"), (11, "name the other capital please"), (12, "さて、日本の首都はどこですか？東京"),
+        (13, "日本の首都は東京です"), (14, "bone ones"), (15, "it is one. And one!"), (16, "twice"), (17, "Twice, twice, twice"),
+        (18, "ไทยแลนด์ ดินแดน แห่ง"), (19, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(rows(spark, docs), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(10, 1), (12, 2), (15, 3), (17, 5), (18, 6)]
+    assert all(r["covered"] == r["n_words"] for r in found if r["item_id"] != 6)
+    kept = decontaminate.keep_clean(rows(spark, docs), benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [11, 13, 14, 16, 19]
+
+
+def test_clean_documents_of_many_blocks(spark, documents, data, monkeypatch):
+    """The same documents stay however many passes; the last plan has no task with two of them."""
+    benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
+    docs = documents.union(documents.limit(20)).withColumn("_place", F.lit(1)).withColumn("a", F.lit("x"))
+    expected = decontaminate.keep_clean(docs, benchmark)
+    assert 0 < expected.count() < docs.count()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    found = decontaminate.keep_clean(docs, benchmark)
+    assert found.columns == docs.columns
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
