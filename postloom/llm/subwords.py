@@ -140,6 +140,12 @@ def scores(b: Bags, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-odds))
 
 
+def log_odds(text: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
+    """Log odds of class 1 for one bag, as ``scores`` has them."""
+    features, times = text
+    return float((weights[features] * times).sum() / (times.sum() + NEUTRAL) + weights[-1])
+
+
 class _Batch:
     """The texts of one step, laid out by text and by feature."""
 

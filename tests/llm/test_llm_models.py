@@ -110,6 +110,10 @@ def test_held_out_accuracy(spark, query, folds, held, label, least):
         if r["held_out"] and r["doc_id"] in labels:
             right.append(r["predicted"] == labels[r["doc_id"]])
     assert sum(right) >= least * len(right)
+    # calling nothing, or everything, is not enough
+    ones = [r["doc_id"] for r in found if r["held_out"] and labels.get(r["doc_id"]) == 1]
+    called = [r["doc_id"] for r in found if r["held_out"] and r["predicted"] and r["doc_id"] in labels]
+    assert len(set(ones) & set(called)) >= max(0.15 * len(ones), 0.5 * len(called)) > 0
 
 
 def test_classifier_odd_rows(spark):
@@ -166,7 +170,7 @@ def test_toxic_held_out_by_length(spark):
             for test in (lambda r: r["toxic"], lambda r: r["predicted"], lambda r: r["toxic"] * r["predicted"])
         )
     print(figures)  # toxic, called toxic, both
-    for name, recall, precision in (("short", 0.6, 0.8), ("middle", 0.45, 0.85), ("long", 0.2, 0.6), ("all", 0.45, 0.85)):
+    for name, recall, precision in (("short", 0.6, 0.45), ("middle", 0.7, 0.8), ("long", 0.4, 0.5), ("all", 0.75, 0.8)):
         toxic, called, both = figures[name]
         assert both >= recall * toxic and both >= precision * called, figures
 
