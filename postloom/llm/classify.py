@@ -20,6 +20,8 @@ from postloom.llm.subwords import bags, learn, log_odds, scores, text_bags
 from postloom.llm.words import give_back, slices
 
 
+# Text that is cut into features at once; these take some forty times its bytes.
+BAG_BYTES = 1024 * 1024
 # Texts of each class in each of the folds that place the cut, at least.
 FOLD_LEAST = 5
 # Share of the texts called class 1 that are, at the best cut, if any cut has it.
@@ -68,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
 
     def bag(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=BAG_BYTES):
                 found = text_bags(bags(part.column("text"), settings.lower, settings.pairs))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -85,12 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
 
     def train(batches):
         table = pa.Table.from_batches(batches)
+        batches.clear()
         ids = table["doc_id"].to_pylist()
         bag_list = list(zip(_arrays(table, "features"), _arrays(table, "times")))
         # the same order however the rows arrive
         order = sorted(range(len(ids)), key=lambda k: (ids[k], len(bag_list[k][0])))
         labels = np.array(table["_label"].to_pylist(), np.int64)[order]
         texts = [bag_list[k] for k in order]
+        del table, bag_list
+        give_back()
         weights = learn(texts, labels, share, steps=settings.steps).weights()
         if settings.cut is not None:
             weights[-1] += log(settings.cut / (1 - settings.cut)) - best_cut(texts, labels, share, settings)
@@ -102,7 +107,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
         some = [b for b in batches if b.num_rows]
         if some:
             yield from train(some)
-            some.clear()
             give_back()
 
     found = bagged.repartition(1).mapInArrow(train_some, "weights binary").collect()
@@ -162,7 +166,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, settings: Settings, name: s
 
     def score(batches):
         for batch in batches:
-            for part in slices(batch, "__pl_text"):
+            for part in slices(batch, "__pl_text", BAG_BYTES):
                 found = scores(
                     bags(part.column("__pl_text"), settings.lower, settings.pairs), shared.value
                 )

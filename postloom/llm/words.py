@@ -39,12 +39,14 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_BYTES`` of text, one row at least."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text, one row at least."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
+    part = np.cumsum(sizes.astype(np.int64)) // size
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
