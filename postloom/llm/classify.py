@@ -96,9 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, settings: Settin
         texts = [bag_list[k] for k in order]
         del table, bag_list
         give_back()
-        weights = learn(texts, labels, share, steps=settings.steps).weights()
+        shift = 0.0
         if settings.cut is not None:
-            weights[-1] += log(settings.cut / (1 - settings.cut)) - best_cut(texts, labels, share, settings)
+            shift = log(settings.cut / (1 - settings.cut)) - best_cut(texts, labels, share, settings)
+        weights = learn(texts, labels, share, steps=settings.steps).weights()
+        weights[-1] += shift
         yield pa.RecordBatch.from_arrays(
             [pa.array([weights.astype("<f8").tobytes()], pa.binary())], names=["weights"]
         )

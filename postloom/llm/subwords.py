@@ -155,14 +155,16 @@ class _Batch:
         sizes = np.array([len(i) for i, _ in bag])
         self.rows = rows
         self.some = np.array([[len(texts[r][0]) > 0] for r in rows], np.float32)
-        self.index = np.concatenate([i for i, _ in bag])
+        self.index = np.concatenate([i for i, _ in bag]).astype(np.int32)
         self.weight = np.concatenate([n / (n.sum() + NEUTRAL) for _, n in bag]).astype(np.float32)[:, None]
         self.starts = np.cumsum(sizes) - sizes
         order = np.argsort(self.index, kind="stable")
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        # the narrowest whole numbers that hold the values: all batches are kept while learning
+        doc = np.repeat(np.arange(len(rows), dtype=np.min_scalar_type(len(rows))), sizes)
         self.doc = doc[order]
         self.weight_sorted = (self.weight * self.some[doc])[order]
-        self.seen, self.firsts = np.unique(self.index[order], return_index=True)
+        self.seen, firsts = np.unique(self.index[order], return_index=True)
+        self.firsts = firsts.astype(np.int32)
 
 
 def learn(
@@ -182,12 +184,18 @@ def learn(
     scores are probabilities for all labelled texts whatever the sample's mix. With labels of
     one class only, every text scores ``share``. Vectors start at zero and grow with their
     gradients; features in fewer than ``least`` texts stay there, as do those never seen.
+    The list ``texts`` is emptied: each bag is held once, as it comes or as part of a batch.
     """
     found_in = np.zeros(FEATURES, np.int64)
     for features, _ in texts:
         found_in[features] += 1
     common = found_in >= least
-    texts = [(f[common[f]], n[common[f]]) for f, n in texts]
+    texts, given = [], texts
+    given.reverse()
+    while given:
+        features, times = given.pop()
+        kept = common[features]
+        texts.append((features[kept], times[kept]))
     draw = np.random.default_rng(seed)
     vectors = np.zeros((FEATURES, width), np.float32)
     softmax = np.zeros((width + 1, 2))
@@ -198,7 +206,12 @@ def learn(
         balance = np.where(labels == 1, 0.5 * len(labels) / ones, 0.5 * len(labels) / (len(labels) - ones))
         past_v, past_s = np.zeros(FEATURES, np.float32), np.full(softmax.shape, 1e-8)
         order = draw.permutation(len(texts))
-        batches = [_Batch(texts, order[at : at + batch]) for at in range(0, len(order), batch)]
+        batches = []
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            batches.append(_Batch(texts, rows))
+            for r in rows:
+                texts[r] = None
         rounds = -(-steps // len(batches))
         for turn in range(rounds):
             step = rate * (1 - turn / rounds)
