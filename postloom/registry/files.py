@@ -13,6 +13,7 @@ from postloom.plans import stages
 from postloom.registry.base import query, table
 from postloom.registry.tables import LONG_WORDS, RAW_SQL, raw_posts
 from postloom.session import shared_folder
+from postloom.sources import csv_ranges as SR
 from postloom.sources import embeddings as SE
 from postloom.sources import posts as SP
 from postloom.sources import warehouse as SW
@@ -165,6 +166,15 @@ def csv_roundtrip(spark, sf_dir):
     return back.withColumn("tags", F.array_join(tags, "+"))
 
 
+@query("csv_ranges", "select doc_id, text, lang, source, n_chars from documents")
+def csv_ranges(spark, sf_dir):
+    """Whole texts through CSV, each file read by as many tasks as it has splits."""
+    path = shared_folder(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    SP.write_csv(rows, path)
+    return SR.read_csv_ranges(spark, path, rows.schema)
+
+
 @query("stored_frame", "select item_id, text from benchmark")
 def stored_frame(spark, sf_dir):
     path = shared_folder(spark, "frame")

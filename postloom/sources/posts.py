@@ -117,13 +117,21 @@ def read_columns_json(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With header. Arrays are written as JSON text."""
+    """With header. Arrays are written as JSON text; white space at a text's ends stays."""
     arrays = {f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)}
     out = df.select(*[F.to_json(c).alias(c) if c in arrays else F.col(c) for c in df.columns])
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (
+        out.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """Files with header and newlines in texts, one task each; ``csv_ranges`` splits large ones."""
     return (
         spark.read.schema(schema)
         .option("header", True)
