@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from postloom.operators import profile as P
-from postloom.session import spread
+from postloom.operators import sketch_days as SD
+from postloom.session import shared_folder, spread
 from postloom.registry.base import query, rounded, table
 from postloom.registry.texts import STOP_WORDS, in_list, word_list
 
@@ -94,6 +97,56 @@ def distinct_approx_error(spark, sf_dir):
     return both.select("column", (off <= 0.15 * F.col("distinct_values")).alias("within"))
 
 
+SKETCHED = ["event_id", "user_id", "event_type", "value"]
+
+
+@query(
+    "sketch_days",
+    " union all ".join(
+        f"select '{c}' as column, count(*) as rows, count({c}) as present, "
+        f"count(distinct {c}) as exact, true as distinct_near, true as quartiles_near from events"
+        for c in SKETCHED
+    ),
+)
+def sketch_days(spark, sf_dir):
+    """Two days of part of the rows, both again with all, then the other days, merged: distinct
+    values within 4 % (five deviations), ranks of the quartiles within 2 % of the exact ones."""
+    start = date(2024, 1, 1)
+    days = [start + timedelta(d) for d in range(7)]
+    events = table(spark, sf_dir, "events").withColumn(
+        "day", F.date_add(F.lit(start), F.pmod("event_id", F.lit(7)).cast("int"))
+    )
+    path = shared_folder(spark, "sketch-days")
+    SD.update_sketches(events.where("event_id % 3 = 0"), path, days[:2], SKETCHED)
+    SD.update_sketches(events, path, days[:2], SKETCHED)
+    SD.update_sketches(events, path, days[2:], SKETCHED)
+    ranks = (0.25, 0.5, 0.75)
+    about = SD.profile_of_days(spark, path, ranks=ranks)
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED])
+    named = [F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in SKETCHED]
+    both = about.join(exact.select(F.inline(F.array(*named))), "column")
+    # numbers at most a quantile reach its rank, those below it don't pass it
+    shares = events.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("number"))
+        for c in ("event_id", "user_id", "value")
+    ]))).join(F.broadcast(about.select("column", "quantiles")), "column").groupBy("column").agg(
+        *[F.avg((F.col("number") <= F.col("quantiles")[i]).cast("int")).alias(f"upto{i}") for i in range(3)],
+        *[F.avg((F.col("number") < F.col("quantiles")[i]).cast("int")).alias(f"below{i}") for i in range(3)],
+    )
+    right = F.lit(True)
+    for i, rank in enumerate(ranks):
+        right &= (F.col(f"upto{i}") >= rank - 0.02) & (F.col(f"below{i}") <= rank + 0.02)
+    checked = both.join(shares.select("column", right.alias("right")), "column", "left")
+    return checked.select(
+        "column",
+        "rows",
+        "present",
+        "exact",
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.04 * F.col("exact")).alias("distinct_near"),
+        F.coalesce("right", F.col("quantiles").isNull()).alias("quartiles_near"),
+    )
+
+
 @query("distinct_values", "select distinct label from embeddings")
 def distinct_values(spark, sf_dir):
     return P.distinct_values(table(spark, sf_dir, "embeddings"), "label")

@@ -35,8 +35,9 @@ def read_csv_ranges(
     Fields are quoted by ``"`` and quotes inside them doubled, as ``write_csv`` does; a quote
     inside an unquoted field is not allowed. Lines end in ``\\n`` or ``\\r\\n``; newlines in
     texts stay as they are (``read_csv`` makes them ``\\n`` where a file's lines end in
-    ``\\r\\n``). Columns are taken by position, lines without characters are skipped, and each file's first line begins its header. Fields that don't parse are NULL.
-    A record that is open at a file's end ends there. Compressed files are one range each.
+    ``\\r\\n``). Columns are taken by position, lines without characters are skipped, and each
+    file's first line begins its header. Fields that don't parse are NULL. A record that is
+    open at a file's end ends there. Compressed files are one range each.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value",
