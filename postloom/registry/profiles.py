@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from postloom.operators import frequent as FQ
 from postloom.operators import profile as P
 from postloom.operators import sketch_days as SD
 from postloom.session import shared_folder, spread
@@ -217,6 +218,14 @@ def word_freq(spark, sf_dir):
     return P.word_counts(spread(table(spark, sf_dir, "documents")), "text", 200)
 
 
+@query(
+    "frequent_words",
+    WORDS_SQL + "select word, count(*) as n from w group by 1 order by n desc, word limit 100",
+)
+def frequent_words(spark, sf_dir):
+    return FQ.frequent_words(spread(table(spark, sf_dir, "documents")), "text", 100)
+
+
 @query(
     "word_freq_without_stop_words",
     WORDS_SQL
