@@ -72,7 +72,7 @@ def test_texts_come_back_whole(spark, tmp_path):
 def test_odd_files(spark, tmp_path, content):
     for name in ("a.csv", "b.csv"):
         (tmp_path / name).write_bytes(content)
-    with splits_of(spark, 3):
+    with splits_of(spark, 8):
         assert rows(read_csv_ranges(spark, str(tmp_path), SCHEMA)) == rows(
             read_csv(spark, str(tmp_path), SCHEMA)
         )
