@@ -9,7 +9,17 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.fixed import EMOJI, EMOJI_RANGES
+from postloom.functions.fixed import (
+    EMOJI,
+    EMOJI_RANGES,
+    FIRST_FLAG_LETTER,
+    FIRST_SKIN_TONE,
+    FIRST_TAG,
+    FLAG,
+    KEYCAP,
+    LAST_TAG,
+    SKIN_TONES,
+)
 
 _CUT = "\u0001"
 _SIGN = "\u0002"
@@ -43,6 +53,38 @@ def emoji_name(symbol: Column, separator: str = "_") -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def sequence_name(symbols: Column, separator: str = "_") -> Column:
+    """Name of one whole sequence in lower case, by rule from the names of its parts.
+
+    Joined parts and skin tones follow each other (woman_medium_skin_tone_rocket), two
+    regional letters are flag_xx, region tags are the letters after their flag, a framed
+    digit or sign is keycap_x. Joiners and variation selectors have no name. Any two
+    regional letters count as a flag, whether or not a region has that code.
+    """
+    tones = F.array(*[F.lit(t.replace("_", separator)) for t in SKIN_TONES])
+
+    def part(c: Column) -> Column:
+        code = F.ascii(c)
+        tone = code - FIRST_SKIN_TONE
+        return F.when(tone.between(0, len(SKIN_TONES) - 1), F.get(tones, tone)).otherwise(
+            emoji_name(c, separator)
+        )
+
+    codes = F.split(symbols, "")
+    named = F.filter(F.transform(codes, part), lambda n: n != "")
+    tags = F.filter(codes, lambda c: F.ascii(c).between(FIRST_TAG, LAST_TAG - 1))
+    # the letter of a tag is its code in the lowest plane
+    region = F.array_join(F.transform(tags, lambda c: F.char(F.ascii(c) - (FIRST_TAG - 0x20))), "")
+    letters = F.transform(codes, lambda c: F.char(F.ascii(c) - FIRST_FLAG_LETTER + ord("a")))
+    whole = F.array_join(named, separator)
+    return (
+        F.when(symbols.rlike(f"^{KEYCAP}"), F.concat(F.lit(f"keycap{separator}"), codes[0]))
+        .when(symbols.rlike(f"^{FLAG}$"), F.concat(F.lit(f"flag{separator}"), F.array_join(letters, "")))
+        .when(region != "", F.concat(whole, F.lit(separator), region))
+        .otherwise(whole)
+    )
+
+
 def mark_emoji(text: Column, marker: str = " xxemoji ") -> Column:
     return F.regexp_replace(text, EMOJI, marker)
 
@@ -52,7 +94,7 @@ def drop_emoji(text: Column) -> Column:
 
 
 def name_emoji(text: Column, before: str, after: str, separator: str) -> Column:
-    """Write every pictograph as ``before + name + after``.
+    """Write every pictograph, joined ones as one, as ``before + name + after``.
 
     ``text`` occurs once, so a long cleaning before this step is evaluated once.
     """
@@ -61,14 +103,14 @@ def name_emoji(text: Column, before: str, after: str, separator: str) -> Column:
         pieces,
         lambda p: F.when(
             F.startswith(p, F.lit(_SIGN)),
-            F.concat(F.lit(before), emoji_name(F.substring(p, 2, 1), separator), F.lit(after)),
+            F.concat(F.lit(before), sequence_name(F.substr(p, F.lit(2)), separator), F.lit(after)),
         ).otherwise(p),
     )
     return F.array_join(named, "")
 
 
 def find_emoji(text: Column) -> Column:
-    """Names of all pictographs, comma-joined; NULL when there are none."""
+    """Names of all pictographs, joined ones as one, comma-joined; NULL when there are none."""
     found = F.regexp_extract_all(text, F.lit(f"({EMOJI})"), F.lit(0))
-    names = F.transform(found, lambda s: F.concat(F.lit(":"), emoji_name(s), F.lit(":")))
+    names = F.transform(found, lambda s: F.concat(F.lit(":"), sequence_name(s), F.lit(":")))
     return F.when(text.rlike(EMOJI), F.array_join(names, ","))

@@ -38,9 +38,27 @@ EMOJI_CLASS = (
     + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in EMOJI_RANGES)
     + r"]]]"
 )
-# One pictograph with its variation selector, skin tone and joined parts.
-EMOJI_TAIL = r"[\x{FE0F}\x{20E3}\x{1F3FB}-\x{1F3FF}]*"
-EMOJI = f"{EMOJI_CLASS}{EMOJI_TAIL}(?:\\x{{200D}}{EMOJI_CLASS}{EMOJI_TAIL})*+"
+# Joiner and signs inside a sequence, skin tones, letters of flags, tags of regions.
+EMOJI_JOINER = r"\x{200D}"
+EMOJI_SIGNS = r"\x{FE0F}\x{20E3}"
+SKIN_TONES = [
+    "light_skin_tone",
+    "medium-light_skin_tone",
+    "medium_skin_tone",
+    "medium-dark_skin_tone",
+    "dark_skin_tone",
+]
+FIRST_SKIN_TONE, FIRST_FLAG_LETTER, FIRST_TAG, LAST_TAG = 0x1F3FB, 0x1F1E6, 0xE0020, 0xE007F
+KEYCAP = r"[0-9#*]\x{FE0F}?+\x{20E3}"
+FLAG = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+# One pictograph with its variation selector, skin tone, region tags and joined parts. The
+# grammar of emoji sequences in Unicode Technical Standard 51, the longest form first.
+EMOJI_PART = (
+    EMOJI_CLASS
+    + rf"[{EMOJI_SIGNS}\x{{1F3FB}}-\x{{1F3FF}}]*+"
+    + r"(?:[\x{E0020}-\x{E007E}]++\x{E007F})?+"
+)
+EMOJI = f"(?:{KEYCAP}|{FLAG}|{EMOJI_PART}(?:{EMOJI_JOINER}{EMOJI_PART})*+)"
 
 # ---- fixed values: marker rewrites, in the order they apply ------------------
 NEWLINES = (r"\n+", " ")

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.functions import bag, fixed, markers, normalise, words
-from postloom.functions.emoji import find_emoji
+from postloom.functions.emoji import find_emoji, name_emoji
 from postloom.operators.clean import prepare_for_encoding
 from postloom.registry.base import (
     POST_SQL,
@@ -336,3 +336,70 @@ where contains(t, '🧐')""",
 def emoji_list(spark, sf_dir):
     rows = posts(spark, sf_dir).select("doc_id", find_emoji(F.col("post")).alias("emoji"))
     return rows.where(F.col("emoji").isNotNull())
+
+
+# ---- fixed values: emoji sequences and their names by rule --------------------------
+EMOJI_SEQUENCES = [
+    ("\U0001F44D", "thumbs_up_sign"),
+    ("\U0001F44D\U0001F3FB", "thumbs_up_sign_light_skin_tone"),
+    ("\U0001F44D\U0001F3FC", "thumbs_up_sign_medium-light_skin_tone"),
+    ("\U0001F44D\U0001F3FD", "thumbs_up_sign_medium_skin_tone"),
+    ("\U0001F44D\U0001F3FE", "thumbs_up_sign_medium-dark_skin_tone"),
+    ("\U0001F44D\U0001F3FF", "thumbs_up_sign_dark_skin_tone"),
+    ("\U0001F3FD", "medium_skin_tone"),
+    ("\u2764", "heavy_black_heart"),
+    ("\u2764\uFE0F", "heavy_black_heart"),
+    ("\u2764\uFE0F\u200D\U0001F525", "heavy_black_heart_fire"),
+    ("\U0001F469\u200D\U0001F680", "woman_rocket"),
+    ("\U0001F469\U0001F3FD\u200D\U0001F680", "woman_medium_skin_tone_rocket"),
+    ("\U0001F468\u200D\U0001F469\u200D\U0001F467", "man_woman_girl"),
+    ("\U0001F468\u200D\U0001F469\u200D\U0001F467\u200D\U0001F466", "man_woman_girl_boy"),
+    ("\U0001F468\u200D\u2764\uFE0F\u200D\U0001F468", "man_heavy_black_heart_man"),
+    ("\U0001F3C3\u200D\u2640\uFE0F", "runner_female_sign"),
+    ("\U0001F3C3\U0001F3FF\u200D\u2642\uFE0F", "runner_dark_skin_tone_male_sign"),
+    ("\U0001F3F3\uFE0F\u200D\U0001F308", "waving_white_flag_rainbow"),
+    ("\U0001F408\u200D\u2B1B", "cat_black_large_square"),
+    ("\U0001F43B\u200D\u2744\uFE0F", "bear_face_snowflake"),
+    ("\U0001F1FA\U0001F1F8", "flag_us"),
+    ("\U0001F1E9\U0001F1EA", "flag_de"),
+    ("\U0001F1EB", "regional_indicator_symbol_letter_f"),
+    (
+        "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F",
+        "waving_black_flag_gbeng",
+    ),
+    (
+        "\U0001F3F4\U000E0067\U000E0062\U000E0073\U000E0063\U000E0074\U000E007F",
+        "waving_black_flag_gbsct",
+    ),
+    ("1\uFE0F\u20E3", "keycap_1"),
+    ("9\u20E3", "keycap_9"),
+    ("#\uFE0F\u20E3", "keycap_#"),
+    ("*\uFE0F\u20E3", "keycap_*"),
+    ("\u263A\uFE0F", "white_smiling_face"),
+    ("\U0001F9D1\U0001F3FE\u200D\U0001F91D\u200D\U0001F9D1\U0001F3FB",
+     "adult_medium-dark_skin_tone_handshake_adult_light_skin_tone"),
+]
+
+
+@query(
+    "emoji_sequences",
+    f"""with s(k, symbols, name) as (values {", ".join(
+        f"({k}, {text_literal(symbols)}, {text_literal(name)})"
+        for k, (symbols, name) in enumerate(EMOJI_SEQUENCES)
+    )}),
+p as (select doc_id, {POST_SQL} as t, s.* from documents join s on k = doc_id % {len(EMOJI_SEQUENCES)})
+select doc_id, ':face_with_monocle:,:thumbs_up_sign:,:' || name || ':,:' || name || ':' as emoji,
+       {swap(swap("t", "🧐", "<face_with_monocle>"), "👍", "<thumbs_up_sign>")}
+       || ' 7 <' || name || '>a<' || name || '>' as named
+from p""",
+)
+def emoji_sequences(spark, sf_dir):
+    """Posts that end with one of the sequences, twice."""
+    end = F.get(F.array(*[F.lit(s) for s, _ in EMOJI_SEQUENCES]), F.col("doc_id") % len(EMOJI_SEQUENCES))
+    post = F.concat("post", F.lit(" 7 "), end, F.lit("a"), end)
+    rows = posts(spark, sf_dir).select("doc_id", post.alias("post"))
+    return rows.select(
+        "doc_id",
+        find_emoji(F.col("post")).alias("emoji"),
+        name_emoji(F.col("post"), "<", ">", "_").alias("named"),
+    )

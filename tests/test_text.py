@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import bag, markers, normalise, words
 from postloom.functions.emoji import find_emoji
+from postloom.registry.texts import EMOJI_SEQUENCES
 
 POST = (
     "Morning round-up 🌻 by @desk_7: COVID 19 numbers fell again\n\nwhy does corona-virus news "
@@ -169,3 +170,37 @@ def test_a_megabyte_of_anything_is_linear(spark, unit):
     kept = df.select(F.length(F.array_join(normalise.post_tokens(F.col("t")), "")).alias("n")).collect()
     assert time.perf_counter() - start < 8
     assert kept[1]["n"] - kept[0]["n"] >= len("x.orgb@c.de")
+
+
+def test_emoji_sequences(spark):
+    """A sequence has one name, next to text, digits and other sequences."""
+    rows = [
+        (name, symbols, f"5{symbols}\u2764\uFE0F:{symbols}x") for symbols, name in EMOJI_SEQUENCES
+    ]
+    found = spark.createDataFrame(rows, "name string, alone string, inside string").select(
+        "name",
+        find_emoji(F.col("alone")).alias("alone"),
+        find_emoji(F.col("inside")).alias("inside"),
+        markers.mark_emoji(F.col("inside")).alias("marked"),
+        markers.mark_emoji_named(F.col("alone")).alias("named"),
+    )
+    found = found.collect()
+    assert len(found) == len(EMOJI_SEQUENCES) >= 30
+    for r in found:
+        assert r.alone == f":{r.name}:"
+        assert r.inside == f":{r.name}:,:heavy_black_heart:,:{r.name}:"
+        assert r.marked == "5 xxemoji  xxemoji : xxemoji x"
+        assert r.named == f" xxemoji {r.name.replace('_', '')} "
+
+
+def test_emoji_beside_each_other(one):
+    """Letters of flags pair from the left; a joiner without a part after it stays."""
+    flags = "\U0001F1FA\U0001F1F8\U0001F1E9\U0001F1EA\U0001F1EB"
+    assert one(find_emoji, flags) == ":flag_us:,:flag_de:,:regional_indicator_symbol_letter_f:"
+    assert one(markers.mark_emoji, "\U0001F469\u200Dx") == " xxemoji \u200Dx"
+    assert one(find_emoji, "1 #2 * 10:30") is None
+    assert one(find_emoji, None) is None
+    assert one(find_emoji, "") is None
+    long = "\U0001F468" + "\u200D\U0001F469" * 20_000
+    assert one(markers.mark_emoji, long) == " xxemoji "
+    assert one(find_emoji, long).count("woman") == 20_000
