@@ -131,4 +131,61 @@ QUERIES: dict[str, Query] = {
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {}
+
+# All pairs of a label, closed by a recursion.
+VECTOR_LINKS_SQL = """
+with recursive e as (
+    select vec_id, label, embedding::double[] as v from embeddings
+    where label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs as (
+    select a.vec_id as a, b.vec_id as b
+    from e a join e b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach(node, root) as (
+    select vec_id, vec_id from embeddings
+    union
+    select pairs.b, reach.root from reach join pairs on pairs.a = reach.node
+    where reach.root < pairs.b
+),
+links as (select a as vec_id, count(*) as n from pairs group by a),
+roots as (select node as vec_id, min(root) as root from reach group by node)
+select vec_id, coalesce(n, 0)::bigint as n_links, root::bigint as component_id,
+       vec_id = root as kept
+from embeddings left join links using (vec_id) join roots using (vec_id)
+"""
+
+# A row per window of 50 words.
+REPEATS_SQL = r"""
+with d as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+),
+starts as (select doc_id, words, unnest(range(1, len(words) - 48)) as i from d),
+windows as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from starts),
+firsts as (select h, min(doc_id) as least from windows group by h),
+gone as (
+    select doc_id, list(distinct p) as gone
+    from (
+        select doc_id, unnest(range(i, i + 50)) as p
+        from windows join firsts using (h) where least < doc_id
+    )
+    group by doc_id
+),
+kept as (
+    select doc_id, len(words) as n, coalesce(len(gone), 0) as n_gone,
+           list_filter(words, lambda w, p: gone is null or not list_contains(gone, p)) as words
+    from d left join gone using (doc_id)
+)
+select doc_id, n::bigint as n_words, n_gone::bigint as n_removed,
+       sha256(array_to_string(words, ' ')) as kept_sha256
+from kept
+"""
+
+# The others tokenize, learn, tile, or hash by XXH64 or CRC-32, which DuckDB does not offer.
+ORACLES: dict[str, str] = {
+    "op7_vector_dedup": VECTOR_LINKS_SQL,
+    "op9_substring_dedup": REPEATS_SQL,
+}
