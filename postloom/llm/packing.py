@@ -20,8 +20,8 @@ from postloom.llm.tokens import id_batches
 
 CAPACITY = 2048
 END_ID = 0
-# Hashed groups that the pieces of one length are ranked in: at least so many, and more so
-# that a group keeps to about GROUP_ROWS pieces.
+# Hashed groups that the pieces of one length are ranked in: at least so many, and more of a
+# length with many pieces, so that a group keeps to about GROUP_ROWS pieces.
 GROUPS = 64
 GROUP_ROWS = 50_000
 
@@ -209,14 +209,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
-    pieces = store(cut_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = cut_pieces(docs, tokenizer, capacity)
+    # the stored salt parts pieces that are equal in all else
+    pieces = store(pieces.withColumn("_salt", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(slots(plan_bins(counts, capacity)))
     # ranks: groups of a length by hash, running counts over groups, order inside a group
-    groups = max(GROUPS, sum(counts.values()) // GROUP_ROWS)
+    many = [(length, max(GROUPS, n // GROUP_ROWS)) for length, n in counts.items()]
+    groups = spark.createDataFrame(many, "length long, _groups long")  # ``capacity`` rows at most
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    pieces = pieces.withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    pieces = (
+        pieces.join(F.broadcast(groups), "length")
+        .withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_salt"), F.col("_groups")))
+        .drop("_groups", "_salt")
     )
     before = (
         Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
