@@ -10,14 +10,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-import corpus_pipeline
-from postloom.llm import decontaminate, queries, subwords
-from postloom.llm.blob_ledger import redact
+from postloom.llm import queries, subwords
 from postloom.llm.classify import Settings, fit, with_score
 from postloom.llm.pages import extract_pages, main_text
 from postloom.llm.quality import SETTINGS as QUALITY
 from postloom.llm.quality import score_quality
-from postloom.llm.simhash import keep_first
 from postloom.llm.vector_links import link_vectors, table_plan
 from pyspark.sql import functions as F
 
@@ -429,27 +426,3 @@ def test_vectors_of_any_size_with_any_id(spark, start):
 
 
 # ---- pipeline ------------------------------------------------------------------------------------------------
-
-
-def test_pipeline(spark, data):
-    """Each stage on its own input, against its operator or a plain count."""
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["quality", "near_copies", "leaked_tests", "secrets", "packing"]
-    stage = dict(corpus_pipeline.STAGES)
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    scores = {r["doc_id"]: r["predicted"] for r in queries.op3_quality(spark, data).collect()}
-    good = stage["quality"](spark, docs, data).cache()
-    assert {r["doc_id"] for r in good.collect()} == {d for d, p in scores.items() if p}
-    first = stage["near_copies"](spark, good, data).cache()
-    assert sorted(first.collect()) == sorted(keep_first(good).collect())
-    clean = stage["leaked_tests"](spark, first, data).cache()
-    bad = decontaminate.contaminated(first, spark.read.parquet(f"{data}/benchmark.parquet"))
-    bad = {r["doc_id"] for r in bad.collect()}
-    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in first.collect()} - bad
-    mended = stage["secrets"](spark, clean, data).cache()
-    assert sorted(mended.collect()) == sorted(redact(clean).collect())
-    for df in (good, first, clean, mended):
-        assert df.schema == docs.schema
-    packed = stage["packing"](spark, mended, data)
-    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mended.collect()}
-    assert corpus_pipeline.run(spark, data).count() == packed.count()
