@@ -264,8 +264,12 @@ def matrix_of_units(column: pa.Array) -> np.ndarray:
 
 
 def distances_to_own(posts: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Each post with the distance to the centroid of its own label."""
-    own = centroids.select("label", "centroid")
+    """Each post with the distance to the centroid of its own label.
+
+    The centroids are a stored table, so Spark knows their bytes before it plans: below its
+    broadcast bound the posts are not shuffled, beyond it AQE splits the posts of a hot label.
+    """
+    own = store(centroids.select("label", "centroid"), "own-centroids")
     return posts.join(own, "label").withColumn(
         "distance", cosine_distance(F.col(vector), F.col("centroid"))
     ).drop("centroid")

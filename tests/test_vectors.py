@@ -321,3 +321,12 @@ def test_centroids_kept_up_by_day(spark, tmp_path):
     check(CD.centroids_of_days(spark, path, days[1], days[2]), [r for r in kept if days[1] <= r[0] <= days[2]])
     plan = plan_of(CD.centroids_of_days(spark, path, days[1], days[2]))
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_distances_to_own_without_shuffle(spark, data):
+    """The stored centroids are broadcast by their bytes; the posts stay where they are."""
+    posts = spark.read.parquet(f"{data}/embeddings.parquet")
+    own = S.distances_to_own(posts, C.mean_centroids(posts))
+    plan = plan_of(own)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert own.count() == posts.count()
