@@ -18,6 +18,7 @@ from postloom.operators.clean import clean_posts, counted, prepare_for_encoding
 from postloom.operators.joins import attach_posts, sentiment_scores
 from postloom.operators.reduce import project
 from postloom.operators.search import mean_precision, nearest, precision
+from postloom.session import store
 from postloom.sources.posts import read_labelled, read_raw_posts, write_days, write_json
 
 Encode = Callable[[DataFrame], DataFrame]
@@ -55,9 +56,15 @@ def ingest(spark: SparkSession, paths: str | list[str], target: str) -> int:
 
 
 def vectors_of(posts: DataFrame, encode: Encode, limit: int = fixed.MAX_POST_LENGTH) -> DataFrame:
-    """Clean posts to (tweet_id, embedding). ``encode`` takes (tweet_id, normalized_tweet)."""
+    """Clean posts to (tweet_id, embedding). ``encode`` takes (tweet_id, normalized_tweet).
+
+    The vectors are stored: fitting a model and projecting read them several times.
+    """
     ready = prepare_for_encoding(posts, limit=limit)
-    return encode(ready.select(F.col("id_str").alias("tweet_id"), "normalized_tweet"))
+    # No kept post lacks a text. Said here, an encoder's filter on NULL is dropped; else Spark
+    # pushes it below the projection, and each text is normalised twice.
+    text = F.coalesce("normalized_tweet", F.lit("")).alias("normalized_tweet")
+    return store(encode(ready.select(F.col("id_str").alias("tweet_id"), text)), "vectors")
 
 
 def points_of(vectors: DataFrame, model: DataFrame, posts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Vector operators against numpy and pandas."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -13,6 +13,7 @@ from postloom.operators import centroids as C
 from postloom.operators import encode as V
 from postloom.operators import reduce as R
 from postloom.operators import search as S
+from postloom.plans import stages
 
 
 @pytest.fixture(scope="module")
@@ -330,3 +331,31 @@ def test_distances_to_own_without_shuffle(spark, data):
     plan = plan_of(own)
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert own.count() == posts.count()
+
+
+def test_posts_are_encoded_once(spark):
+    """Fitting a model, projecting and joining the posts reads stored vectors; no text is cleaned twice."""
+    start = datetime(2024, 1, 1)
+    texts = [("en", f"word{i} and {i % 3}") for i in range(6)] + [("de", "ein Wort"), ("en", None), ("en", "")]
+    posts = spark.createDataFrame(
+        [(str(i), start, lang, text) for i, (lang, text) in enumerate(texts)],
+        "id_str string, created_at timestamp_ntz, lang string, full_text string",
+    )
+    seen, plans = spark.sparkContext.accumulator(0), []
+
+    def encode(rows):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        out = V.encode_hashing(rows, "normalized_tweet", width=4).drop("normalized_tweet")
+        plans.append(plan_of(out))
+        return out.mapInPandas(count, out.schema)
+
+    vectors = stages.vectors_of(posts, encode)
+    points = stages.points_of(vectors, R.fit_svd(vectors, fraction=1.0), posts).collect()
+    kept = [(str(i), texts[i][1]) for i in (0, 1, 2, 3, 4, 5, 8)]
+    assert sorted((r["tweet_id"], r["tweet"]) for r in points) == kept
+    assert seen.value == 7
+    assert plans[0].count("regexp_extract_all") == 1
