@@ -12,7 +12,7 @@ from postloom.operators import reduce as R
 from postloom.plans import stages
 from postloom.registry.base import query, rounded, table
 from postloom.registry.texts import word_list
-from postloom.session import shared_folder, spread
+from postloom.session import shared_folder, spread, store
 
 
 def _vectors(spark, sf_dir):
@@ -191,12 +191,23 @@ from documents where text is not null""",
 )
 def encode_idf(spark, sf_dir):
     """Every weighted vector is its counts times log((n + 1) / (documents with the term + 1)),
-    with the documents of each bucket counted anew."""
-    counts = encode_hashing(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "tf"))
-    weighted = encode_weighted(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "w"))
+    with the documents of each bucket counted anew.
+
+    The counts are stored, as three steps read them. Whole vectors are joined, a row per document;
+    their positions become rows only in the task that sums them up."""
+    counts = store(encode_hashing(spark, sf_dir), "counts").withColumnRenamed("embedding", "tf")
+    weighted = encode_weighted(spark, sf_dir).withColumnRenamed("embedding", "w")
     n = counts.agg(F.countDistinct("doc_id").alias("n"))
-    held = counts.groupBy("pos").agg(F.sum((F.col("tf") > 0).cast("long")).alias("held"))
-    cells = counts.join(weighted, ["doc_id", "pos"]).join(held, "pos").join(F.broadcast(n))
+    each = counts.select(F.posexplode("tf").alias("pos", "tf"))
+    held = each.groupBy("pos").agg(F.sum((F.col("tf") > 0).cast("long")).alias("held"))
+    # stored vectors are mostly zeros: their files are far smaller than a copy of them in memory
+    both = counts.hint("merge").join(weighted, "doc_id")
+    cells = (
+        both.select("doc_id", "w", F.posexplode("tf").alias("pos", "tf"))
+        .withColumn("w", F.get("w", F.col("pos")))
+        .join(F.broadcast(held), "pos")
+        .join(F.broadcast(n))
+    )
     expected = F.col("tf") * F.log((F.col("n") + 1) / (F.col("held") + 1))
     near = F.abs(F.col("w") - expected) <= 1e-5 * (1 + F.abs(expected))
     return cells.groupBy("doc_id").agg(

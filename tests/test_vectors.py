@@ -14,6 +14,7 @@ from postloom.operators import encode as V
 from postloom.operators import reduce as R
 from postloom.operators import search as S
 from postloom.plans import stages
+from postloom.registry import models
 
 
 @pytest.fixture(scope="module")
@@ -359,3 +360,21 @@ def test_posts_are_encoded_once(spark):
     assert sorted((r["tweet_id"], r["tweet"]) for r in points) == kept
     assert seen.value == 7
     assert plans[0].count("regexp_extract_all") == 1
+
+
+def test_weights_are_compared_a_row_per_document(spark, tmp_path):
+    """Vectors meet whole: no rows per position are joined, and each text is split once a frame."""
+
+    def run(*rows):
+        folder = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        return models.encode_idf(spark, folder)
+
+    once = run((1, "a b a"), (2, "b"), (3, ""), (4, None), (5, "c"))
+    assert sorted(once.collect()) == [(1, 3, True), (2, 1, True), (3, 0, True), (5, 1, True)]
+    # every count vector of an id meets every weighted one; rows without an id meet none
+    again = {r["doc_id"]: r["tokens"] for r in run((1, "a"), (1, "b c"), (2, "d"), (None, "e")).collect()}
+    assert again == {1: 6, 2: 1}
+    plan = plan_of(once).split("== Initial Plan ==")[-1]
+    assert plan.count("split(text") == 1
+    assert "posexplode" not in plan.split("SortMergeJoin")[1].split("BroadcastExchange")[0]
